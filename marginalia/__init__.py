@@ -1,0 +1 @@
+"""An audit engine for scored interventions on Spark DataFrames."""
