@@ -91,9 +91,9 @@ def _forest(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x = front.pop()
             near = _near(left, x)
             found = left[near]
-            a.append(np.full(len(found), x))
+            a.append(np.full(len(found), x, np.uint64))
             b.append(found)
-            front += found.tolist()
+            front += list(found)
             left = left[~near]
     return (np.concatenate(a), np.concatenate(b)) if a else (bits[:0], bits[:0])
 
