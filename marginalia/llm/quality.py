@@ -25,12 +25,14 @@ FIT_ROWS = 10_000
 BITS = 20
 #: Features in fewer documents of the sample have no weight.
 MIN_DOCS = 20
+#: Features whose share differs by fewer standard errors between grades have no weight.
+MIN_CONTRAST = 5.0
 #: Words also count by their first letters, which related forms share.
-STEM = 5
+STEM = 4
 KEEP = 0.5
 #: Entries of a worker's word cache.
 CACHE = 300_000
-_STEPS, _RATE, _DECAY = 240, 0.2, 1e-3
+_STEPS, _RATE, _DECAY = 240, 0.5, 1e-4
 
 
 class Features:
@@ -82,7 +84,21 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, size: int, n_grades: int = GRADES, min_docs: int = MIN_DOCS) -> Ordinal:
+def _contrast(index: np.ndarray, row: np.ndarray, grades: np.ndarray, size: int, n_grades: int) -> np.ndarray:
+    """Each feature's largest z-score, over cuts between grades and single grades, of its rows' share on either side."""
+    n, seen, best = len(grades), np.bincount(index, minlength=size), np.zeros(size)
+    share = seen / n
+    for side in [grades >= k for k in range(1, n_grades)] + [grades == k for k in range(1, n_grades - 1)]:
+        n1 = int(side.sum())
+        if 0 < n1 < n:
+            k1 = np.bincount(index[side[row]], minlength=size)
+            spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
+            best = np.maximum(best, np.abs(k1 / n1 - (seen - k1) / (n - n1)) / spread)
+    best[-Features.SHAPES :] = np.inf  # a text's shape always counts
+    return best
+
+
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, size: int, n_grades: int = GRADES, min_docs: int = MIN_DOCS, min_contrast: float = MIN_CONTRAST) -> Ordinal:
     """Weights and ordered thresholds by full-batch gradient steps with per-weight rates (AdaGrad); grades weigh alike.
 
     The thresholds are a first one and logarithms of the gaps, so they stay in order. With no rows, or one grade, all
@@ -93,8 +109,10 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, s
     index = np.concatenate([i for i, _ in rows])
     value = np.concatenate([v for _, v in rows])
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    # a feature occurs once in a row at most; those of too few rows drop out, the others are numbered anew
+    # a feature occurs once in a row at most; those of too few rows, or alike on both sides of every cut between grades, drop
+    # out; the others are numbered anew
     active = np.bincount(index, minlength=size) >= min(min_docs, len(rows))
+    active &= _contrast(index, row, grades, size, n_grades) >= min_contrast
     place, has = np.cumsum(active) - 1, active[index]
     index, value, row = place[index[has]], value[has], row[has]
     whole, size = size, int(active.sum())
