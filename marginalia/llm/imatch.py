@@ -73,11 +73,24 @@ def fingerprint_text(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of subsets with the same hash among those where either has terms; 1 for two documents without any."""
-    both = F.arrays_zip(a.alias("x"), b.alias("y"))
-    some = F.size(F.filter(both, lambda z: (z["x"] != 0) | (z["y"] != 0)))
-    same = F.size(F.filter(both, lambda z: (z["x"] != 0) & (z["x"] == z["y"])))
-    return F.when(some > 0, same / some).when(some == 0, F.lit(1.0))
+    """The share of subsets with the same hash among those where either has terms; 1 for two documents without any.
+
+    The subsets are all of them, or those from the thinnest level on in which nearly all have terms, whichever agree more:
+    of a long document an edit changes every dense subset.
+    """
+
+    def share(pairs: Column) -> Column:
+        some = F.size(F.filter(pairs, lambda z: (z["x"] != 0) | (z["y"] != 0)))
+        same = F.size(F.filter(pairs, lambda z: (z["x"] != 0) & (z["x"] == z["y"])))
+        return F.when(some > 0, same / some).otherwise(F.lit(1.0))
+
+    def best(pairs: Column) -> Column:
+        size = lambda level: F.size(F.filter(F.slice(pairs, level * SUBSETS + 1, SUBSETS), lambda z: (z["x"] != 0) | (z["y"] != 0)))
+        full = F.greatest(*[F.when(size(level) >= SUBSETS - 1, F.lit(level)).otherwise(F.lit(0)) for level in range(LEVELS)])
+        return F.greatest(share(pairs), share(F.slice(pairs, full * SUBSETS + 1, F.lit(LEVELS * SUBSETS))))
+
+    # the pairs are a lambda's variable so that they are computed once
+    return F.transform(F.array(F.arrays_zip(a.alias("x"), b.alias("y"))), best)[0]
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
