@@ -56,6 +56,11 @@ def centre_crop(samples: np.ndarray, seconds: float = 2.0, rate: int = RATE) ->
     return samples[at : at + n]
 
 
+def source_clip(samples: np.ndarray, common_gain: float) -> np.ndarray:
+    """A source as it was before the gain it was stored with, cropped to its middle two seconds."""
+    return centre_crop(samples if common_gain == 1.0 else samples / common_gain)
+
+
 def envelope(samples: np.ndarray, segments: int = 120) -> np.ndarray:
     return np.array([np.abs(x).max() if len(x) else 0.0 for x in np.array_split(samples, segments)])
 
