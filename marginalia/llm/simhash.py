@@ -9,11 +9,16 @@ all pairs.
 A bucket grows only with the different fingerprints that share a half. Halves shared by more than HOT of them, and the
 buckets these reach, are dealt again by a 16-bit half of the other side (same argument: at most 3 bits there, so at most one
 in one of its halves), which bounds a bucket by the fingerprints within a few bits of 48 given ones.
+
+Wider links, for near-duplicates by five-word shingles at an estimated similarity of 0.8 (10 bits), go by pairs of fifths:
+each fingerprint is filed under any two of its five blocks (26 bits) and under those with one bit changed, on both sides, so
+two that differ in at most 2 bits of some two blocks meet. That is certain up to 7 bits, and so for most pairs of 8 to 10.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,10 @@ from marginalia.llm.components import components
 SHINGLE = 3
 DISTANCE = 3
 SEED = 42
+#: The same for near-duplicates of 0.8: equal shares of a and b in cos = 2 s / (1 + s), and 64 acos(cos) / pi = 9.7 bits.
+WIDE_SHINGLE, WIDE_DISTANCE = 5, 10
+#: Start and width of the five blocks.
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Different fingerprints that share a 32-bit half, above which the second level takes over.
 HOT = 4096
 #: Rows of a bucket up to which neighbours in sorted order are compared by shifts.
@@ -78,18 +87,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # --- links ------------------------------------------------------------------------------------------------------------
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= DISTANCE
+def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= distance
 
 
-def _forest(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _forest(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join whatever of these is joined by near pairs: at most one less than there are."""
     a, b, left = [], [], bits
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = _near(left, x)
+            near = _near(left, x, distance)
             found = left[near]
             a.append(np.full(len(found), x, np.uint64))
             b.append(found)
@@ -98,7 +107,7 @@ def _forest(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (bits[:0], bits[:0])
 
 
-def bucket_links(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(keys: np.ndarray, bits: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys (rows sorted by key)."""
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     size = np.diff(edge)
@@ -107,23 +116,23 @@ def bucket_links(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.nda
     short = length <= SHORT
     for shift in range(1, min(SHORT, int(size.max(initial=0)))):
         i = np.flatnonzero(short[:-shift] & (keys[:-shift] == keys[shift:]))
-        i = i[_near(bits[i], bits[i + shift])]
+        i = i[_near(bits[i], bits[i + shift], distance)]
         a.append(bits[i])
         b.append(bits[i + shift])
     for k in np.flatnonzero(size > SHORT):
-        x, y = _forest(np.unique(bits[edge[k] : edge[k + 1]]))
+        x, y = _forest(np.unique(bits[edge[k] : edge[k + 1]]), distance)
         a.append(x)
         b.append(y)
     return (np.concatenate(a), np.concatenate(b)) if a else (bits[:0], bits[:0])
 
 
-def _links_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links_of_buckets(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Sorted (key, bits) rows to links; a bucket that runs past a batch's end waits for the next. Links already sent by
     this task are not sent again while they are remembered."""
     keys, bits, sent = np.zeros(0, np.int64), np.zeros(0, np.uint64), set()
 
     def send(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = bucket_links(k, v)
+        a, b = bucket_links(k, v, distance)
         new = set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)) - sent
         if len(sent) > 200_000:
             sent.clear()
@@ -142,10 +151,10 @@ def _links_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield from send(keys, bits)
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
+def _bucketed(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links_of_buckets, "a long, b long")
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda batches: _links_of_buckets(batches, distance), "a long, b long")
 
 
 def _ball(half, side: int, width: int):
@@ -179,50 +188,63 @@ def links(different: DataFrame, hot: int = HOT) -> DataFrame:
     return first.unionByName(second)
 
 
+def wide_links(different: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(a, b) links between different fingerprints up to `distance` bits apart, by pairs of fifths."""
+    block = lambda i: F.shiftrightunsigned("bits", BLOCKS[i][0]).bitwiseAND(F.lit((1 << BLOCKS[i][1]) - 1).cast("long"))
+    keys = []
+    for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
+        width = BLOCKS[i][1] + BLOCKS[j][1]
+        own = F.shiftleft(block(i), BLOCKS[j][1]).bitwiseOR(block(j)).bitwiseOR(F.lit(n << 26).cast("long"))
+        keys += [own, *(own.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(width))]
+    return _bucketed(different.select("bits", F.explode(F.array(*keys)).alias("key")).select("key", "bits"), distance)
+
+
 # --- the operator -----------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id that can be reached by links, a row for each row.
 
     A text that is null, empty or without words has fingerprint 0 and is linked like any other. Copies meet in their
     fingerprint, which is filed once however many they are. Repeated rows give repeated rows; a null doc_id is no
     component's least, and where a component has no other its id is null; other columns are not carried; an empty table
-    gives an empty result.
+    gives an empty result. distance is 3, or more for links by pairs of fifths.
     """
     prints = stash(fingerprints(docs, shingle), "prints")
     least = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
     different = stash(least, "different")
     # nodes are ordered by fingerprint; which document is a component's least is aggregated after
-    of = components(links(different.select("bits"), hot)).withColumnRenamed("node", "bits")
+    made = links(different.select("bits"), hot) if distance <= DISTANCE else wide_links(different.select("bits"), distance)
+    of = components(made).withColumnRenamed("node", "bits")
     grouped = different.join(of, "bits", "left").select("bits", "least", F.coalesce("component", "bits").alias("component"))
     first = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     by_bits = grouped.join(first, "component").select("bits", "component_id")
     return prints.join(by_bits, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def keep_representatives(docs: DataFrame, shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE) -> DataFrame:
     """The rows of docs whose doc_id is their component's least, one for each component; all columns are kept.
 
     Rows without a doc_id are kept only where their component has no doc_id at all, once for each text then.
     """
-    near = near_duplicates(docs, shingle)
+    near = near_duplicates(docs, shingle, distance=distance)
     ids = near.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    # the kept ids grow with the documents, so they are dealt out by id at every size; only they are hashed in memory
     kept = stash(ids, "kept")
-    once = docs.join(kept.where("n = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    once = docs.join(kept.where("n = 1 and doc_id is not null").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     repeated = kept.where("n > 1 or doc_id is null")
     if not repeated.take(1):
         return once
     more = docs.where("doc_id is not null").join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     out = once.unionByName(more)
     if repeated.where("doc_id is null").take(1):
-        out = out.unionByName(_without_id(docs, near))
+        out = out.unionByName(_without_id(docs, near, shingle))
     return out
 
 
-def _without_id(docs: DataFrame, near: DataFrame) -> DataFrame:
+def _without_id(docs: DataFrame, near: DataFrame, shingle: int) -> DataFrame:
     alone = near.where("doc_id is null and component_id is null").select("fingerprint").distinct()
     rows = docs.where("doc_id is null").dropDuplicates(["text"])
-    own = fingerprints(rows.select(F.xxhash64("text").alias("doc_id"), "text")).select(F.col("doc_id").alias("mark"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"))
+    own = fingerprints(rows.select(F.xxhash64("text").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("mark"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"))
     marks = own.join(alone, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("mark").alias("mark"))
     return rows.withColumn("mark", F.xxhash64("text")).join(marks.select("mark"), "mark", "left_semi").drop("mark")

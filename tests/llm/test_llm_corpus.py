@@ -40,11 +40,11 @@ def near_texts(seed=3, groups=12, copies=6):
 # --- simhash ----------------------------------------------------------------------------------------------------------
 
 
-def brute_simhash(text):
+def brute_simhash(text, size=3):
     words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -100,6 +100,21 @@ def test_links_join_what_near_pairs_join(spark, hot):
     assert sorted(map(sorted, parts.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+def test_wide_links(spark):
+    """All pairs of up to 7 bits are joined, no pair of over 10 is linked."""
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 7))) for b in base for _ in range(4)} | set(base))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = simhash.wide_links(spark.createDataFrame([(p,) for p in signed], "bits long")).collect()
+    assert all((((r.a ^ r.b) & ((1 << 64) - 1)).bit_count()) <= 10 for r in found)
+    part = {r.node: r.component for r in components.components(spark.createDataFrame([tuple(r) for r in found], "a long, b long")).collect()}
+    for i, p in enumerate(prints):
+        for q, s in zip(prints[:i], signed, strict=False):
+            if (p ^ q).bit_count() <= 7:
+                assert part[signed[i]] == part[s]
+
+
 def test_long_buckets_give_a_forest():
     bits = np.array([1 << i for i in range(20)] + [0xFF << 40, 0xFE << 40], np.uint64)
     keys = np.zeros(len(bits), np.int64)
@@ -110,7 +125,7 @@ def test_long_buckets_give_a_forest():
 def test_representatives(spark):
     texts = near_texts()
     df = docs(spark, texts)
-    want = sorted(set(classes([brute_simhash(t) for t in texts])))
+    want = sorted(set(classes([brute_simhash(t, 5) for t in texts], 10)))
     assert sorted(r.doc_id for r in simhash.keep_representatives(df).collect()) == want
     odd = df.unionByName(df.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "quite another text of its own here", "a", "b", 1)] * 2 + [(None, texts[0], "a", "b", 1)], DOCS))
     got = simhash.keep_representatives(odd)
@@ -297,7 +312,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     grade = {r[0]: r[4] for r in rated(2, 400)}
     assert np.mean([(i in texts) == (g == 2) for i, g in grade.items()]) > 0.97
     ids = sorted(texts)
-    want = {ids[k] for k in classes([brute_simhash(texts[i]) for i in ids])}
+    want = {ids[k] for k in classes([brute_simhash(texts[i], 5) for i in ids], 10)}
     one = stash(P.drop_near_duplicates(spark, good, d), "t")
     assert {r.doc_id for r in one.collect()} == want and one.columns == documents.columns
     clean = stash(P.hide_personal_data(spark, one, d), "t")
