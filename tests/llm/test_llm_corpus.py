@@ -232,7 +232,7 @@ def test_main_text():
     assert e(None) == e("") == e("<script>x") == e("<article></article>") == ""
     assert e("a < b and <3 c") == "a < b and <3 c"
     assert e("<p>" + "w " * 200_000) == ("w " * 200_000).strip()
-    assert len(e("<div>" * 3000 + "deep" + "</div>" * 3000)) == 4
+    assert e("<div>" * 100_000 + "deep" + "</div>" * 100_000) == "deep"
 
 
 def test_templates(spark):
