@@ -45,9 +45,12 @@ def indexed(counts: DataFrame, cluster: str) -> DataFrame:
 
 def drawn_sums(counts: DataFrame, cluster: str, columns: list[str], draws: DataFrame | None = None, n_draws: int = DRAWS) -> DataFrame:
     """draw and the columns' sums over the clusters of each draw; all statistics share the draws."""
-    spark, own = counts.sparkSession, indexed(counts, cluster)
+    own = indexed(counts, cluster)
     if draws is None:
-        draws = md5_draws(spark, counts.count(), n_draws)
+        # md5_draws of as many clusters as there are; made from the clusters themselves, so no job has to count them first
+        sized = own.select(F.col("cluster_idx").alias("pos"), F.count("*").over(Window.partitionBy()).alias("k"))
+        sized = sized.select("pos", "k", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
+        draws = sized.select("draw", F.pmod(md5_int(F.lit(SEED), F.col("draw"), F.col("pos")), F.col("k")).alias("cluster_idx"))
     weight = F.col("multiplicity") if "multiplicity" in draws.columns else F.lit(1)
     return draws.join(own, "cluster_idx").groupBy("draw").agg(*[F.sum(F.col(c) * weight).alias(c) for c in columns])
 
@@ -84,9 +87,11 @@ def permutation_p(df: DataFrame, x: str, y: str, key: str, n_draws: int, seed: i
     """observed, p of corr(x, y) against shuffled y: (1 + draws at or above) / (draws + 1). For dimension tables: each draw
     numbers their rows by a hash."""
     own = df.select(x, y, key, F.row_number().over(Window.orderBy(key)).alias("_at"))
-    drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    order = Window.partitionBy("draw").orderBy(md5_int(F.lit(seed), F.col("draw"), F.col(key)), key)
+    # draw -1 keeps the order
+    drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(n_draws - 1))))
+    order = Window.partitionBy("draw").orderBy(F.when(F.col("draw") >= 0, md5_int(F.lit(seed), F.col("draw"), F.col(key))), key)
     shuffled = drawn.select("draw", y, F.row_number().over(order).alias("_at"))
     r = own.select(x, "_at").join(shuffled, "_at").groupBy("draw").agg(F.corr(x, y).alias("r"))
-    observed = own.agg(F.corr(x, y).alias("observed")).first()["observed"]
-    return r.agg(((F.count_if(F.col("r") >= F.lit(observed - 1e-12)) + 1) / F.lit(n_draws + 1.0)).alias("p")).select(F.lit(observed).alias("observed"), "p")
+    r = r.withColumn("observed", F.max(F.when(F.col("draw") < 0, F.col("r"))).over(Window.partitionBy()))
+    above = F.count_if((F.col("draw") >= 0) & (F.col("r") >= F.col("observed") - 1e-12))
+    return r.agg(F.max("observed").alias("observed"), ((above + 1) / F.lit(n_draws + 1.0)).alias("p"))
