@@ -188,15 +188,21 @@ def links(different: DataFrame, hot: int = HOT) -> DataFrame:
     return first.unionByName(second)
 
 
-def wide_links(different: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(a, b) links between different fingerprints up to `distance` bits apart, by pairs of fifths."""
+def wide_keys(different: DataFrame) -> DataFrame:
+    """key, bits: each fingerprint under each pair of its blocks, and under those with one bit changed."""
     block = lambda i: F.shiftrightunsigned("bits", BLOCKS[i][0]).bitwiseAND(F.lit((1 << BLOCKS[i][1]) - 1).cast("long"))
     keys = []
     for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
         width = BLOCKS[i][1] + BLOCKS[j][1]
         own = F.shiftleft(block(i), BLOCKS[j][1]).bitwiseOR(block(j)).bitwiseOR(F.lit(n << 26).cast("long"))
-        keys += [own, *(own.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(width))]
-    return _bucketed(different.select("bits", F.explode(F.array(*keys)).alias("key")).select("key", "bits"), distance)
+        changes = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(width)))])
+        keys.append(F.transform(changes, own.bitwiseXOR))
+    return different.select("bits", F.explode(F.concat(*keys)).alias("key")).select("key", "bits")
+
+
+def wide_links(different: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(a, b) links between different fingerprints up to `distance` bits apart, by pairs of fifths."""
+    return _bucketed(wide_keys(different), distance)
 
 
 # --- the operator -----------------------------------------------------------------------------------------------------

@@ -115,6 +115,14 @@ def test_wide_links(spark):
                 assert part[signed[i]] == part[s]
 
 
+def test_wide_keys_tell_fingerprints_apart(spark):
+    keys = {}
+    for r in simhash.wide_keys(spark.createDataFrame([(0x0123456789ABCDEF,), (0x7EDCBA9876543210,)], "bits long")).collect():
+        keys.setdefault(r.bits, set()).add(r.key)
+    a, b = keys.values()
+    assert len(a) == len(b) == 6 * 27 + 4 * 26 and not a & b
+
+
 def test_long_buckets_give_a_forest():
     bits = np.array([1 << i for i in range(20)] + [0xFF << 40, 0xFE << 40], np.uint64)
     keys = np.zeros(len(bits), np.int64)
