@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import small_batches
+from marginalia.llm.common import small_batches, stash
 
 GRADES = 3
 #: The fit uses at most so many rated documents, those with the least hashed ids: a bounded sample.
@@ -84,21 +84,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def _contrast(index: np.ndarray, row: np.ndarray, grades: np.ndarray, size: int, n_grades: int) -> np.ndarray:
-    """Each feature's largest z-score, over cuts between grades and single grades, of its rows' share on either side."""
-    n, seen, best = len(grades), np.bincount(index, minlength=size), np.zeros(size)
-    share = seen / n
-    for side in [grades >= k for k in range(1, n_grades)] + [grades == k for k in range(1, n_grades - 1)]:
-        n1 = int(side.sum())
-        if 0 < n1 < n:
-            k1 = np.bincount(index[side[row]], minlength=size)
-            spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
-            best = np.maximum(best, np.abs(k1 / n1 - (seen - k1) / (n - n1)) / spread)
-    best[-Features.SHAPES :] = np.inf  # a text's shape always counts
-    return best
-
-
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, size: int, n_grades: int = GRADES, min_docs: int = MIN_DOCS, min_contrast: float = MIN_CONTRAST) -> Ordinal:
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, size: int, n_grades: int = GRADES) -> Ordinal:
     """Weights and ordered thresholds by full-batch gradient steps with per-weight rates (AdaGrad); grades weigh alike.
 
     The thresholds are a first one and logarithms of the gaps, so they stay in order. With no rows, or one grade, all
@@ -109,12 +95,9 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, s
     index = np.concatenate([i for i, _ in rows])
     value = np.concatenate([v for _, v in rows])
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    # a feature occurs once in a row at most; those of too few rows, or alike on both sides of every cut between grades, drop
-    # out; the others are numbered anew
-    active = np.bincount(index, minlength=size) >= min(min_docs, len(rows))
-    active &= _contrast(index, row, grades, size, n_grades) >= min_contrast
-    place, has = np.cumsum(active) - 1, active[index]
-    index, value, row = place[index[has]], value[has], row[has]
+    active = np.bincount(index, minlength=size) > 0  # the others have no weight
+    place = np.cumsum(active) - 1
+    index = place[index]
     whole, size = size, int(active.sum())
     count = np.bincount(grades, minlength=n_grades)
     share = (len(grades) / np.maximum(count, 1) / max((count > 0).sum(), 1))[grades] ** 0.5
@@ -149,8 +132,8 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade).alias("grade"))
 
 
-def rated_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[tuple[np.ndarray, np.ndarray], int]]:
-    """Features and grade of at most `rows` rated documents; texts stay on the executors."""
+def rated_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, grade, i, v: the features of at most `rows` rated documents, as a table in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -161,19 +144,49 @@ def rated_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> li
 
     few = grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows` rows, so it may be broadcast
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text")
-    got = own.mapInArrow(run, "doc_id long, grade int, i array<int>, v array<float>").toArrow()
-    rows_by_id = {}
+    return stash(own.mapInArrow(run, "doc_id long, grade int, i array<int>, v array<float>"), "rated")
+
+
+def telling_features(sample: DataFrame, n_grades: int = GRADES, min_docs: int = MIN_DOCS, min_contrast: float = MIN_CONTRAST) -> list[int]:
+    """Features of enough sample rows whose share differs, by min_contrast standard errors, over a cut between grades or
+    for a grade alone; a text's shape always counts. At most as many as there are hash places."""
+    grade = F.col("grade")
+    sides = [grade >= k for k in range(1, n_grades)] + [grade == k for k in range(1, n_grades - 1)]
+    n, *n_side = sample.agg(F.count("*"), *[F.count_if(s) for s in sides]).first()
+    seen = sample.select("grade", F.explode("i").alias("f")).groupBy("f").agg(F.count("*").alias("seen"), *[F.count_if(s).alias(f"k{j}") for j, s in enumerate(sides)])
+    share, contrast = F.col("seen") / F.lit(max(n, 1)), [F.lit(0.0)]
+    for j, n1 in enumerate(n_side):
+        if 0 < n1 < n:
+            spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / (n - n1)))
+            contrast.append(F.abs(F.col(f"k{j}") / n1 - (F.col("seen") - F.col(f"k{j}")) / (n - n1)) / spread)
+    telling = (F.col("seen") >= min(min_docs, n)) & (F.greatest(*contrast, F.lit(0.0)) >= min_contrast)
+    return sorted(r["f"] for r in seen.where(telling | (F.col("f") >= (1 << BITS) - Features.SHAPES)).select("f").collect())
+
+
+def sample_rows(sample: DataFrame, telling: list[int]) -> list[tuple[tuple[np.ndarray, np.ndarray], int]]:
+    """Features among the telling ones, and grade, of each sample row; of repeated ids the one with the fewest features."""
+    kept = np.array(telling, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(batch.column(2), batch.column(3), strict=True)]
+            rows = [(i[m], v[m]) for i, v in rows for m in (np.isin(i, kept),)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32()))], ("doc_id", "grade", "i", "v"))
+
+    got = sample.mapInArrow(run, "doc_id long, grade int, i array<int>, v array<float>").toArrow()
+    by_id = {}
     for doc, grade, i, v in zip(*(got[c].combine_chunks() for c in ("doc_id", "grade", "i", "v")), strict=True):
         i, v = i.values.to_numpy(), v.values.to_numpy()
-        held = rows_by_id.get(doc.as_py())  # of repeated ids the one with the fewest features, then the least sum
+        held = by_id.get(doc.as_py())
         if held is None or (len(i), float(v.sum())) < (len(held[0][0]), float(held[0][1].sum())):
-            rows_by_id[doc.as_py()] = (i, v), grade.as_py()
-    return [rows_by_id[doc] for doc in sorted(rows_by_id)]
+            by_id[doc.as_py()] = (i, v), grade.as_py()
+    return [by_id[doc] for doc in sorted(by_id)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
     small_batches(docs.sparkSession)
-    sample = rated_sample(docs, labels, rows)
+    rated = rated_sample(docs, labels, rows)
+    sample = sample_rows(rated, telling_features(rated))
     return fit_ordinal([x for x, _ in sample], np.array([g for _, g in sample], np.int64), 1 << BITS)
 
 
