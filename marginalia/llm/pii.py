@@ -9,8 +9,8 @@ generalised to their kind and such terms are removed.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -87,12 +87,13 @@ def show(spans: list[tuple[str, int, int]]) -> str:
 def near_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the words near each mention that lie in no base span."""
     taken = merge(spans)
+    starts = [s for _, s, _ in taken]  # merged spans do not overlap, so their ends are in order too
     for _, start, end in spans:
         entity = text[start:end].lower()
         lo, hi = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
         left = [m for m in _WORD.finditer(text, lo, start) if m.start() > lo or lo == 0][-NEAR_WORDS:]
         right = [m for m in _WORD.finditer(text, end, hi) if m.end() < hi or hi == len(text)][:NEAR_WORDS]
-        inside = [(s, e) for _, s, e in taken if s < hi and e > lo] if len(taken) > 1 else []
+        inside = [(s, e) for _, s, e in taken[max(0, bisect_right(starts, lo) - 1) : bisect_left(starts, hi)]]
         for m in left + right:
             if not any(s < m.end() and e > m.start() for s, e in inside):
                 yield entity, m[0].lower(), m.start(), m.end()
@@ -210,7 +211,8 @@ def clean_text(text: str, terms: list[tuple[int, int]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with entities generalised to their kind and disclosing terms removed; n_chars, if there, counts the new text.
 
-    All columns and rows are kept; a null text stays null.
+    All columns and rows are kept; a null text stays null. Only texts with an at sign or a digit can have an entity, and so
+    terms; the others are not moved.
     """
     terms = _term_spans(_seen(docs)).select(F.col("doc_id").alias("_of"), F.col("mark").alias("_mark"), F.col("terms").alias("_terms"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_mark"))
@@ -228,8 +230,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 columns[i] = pa.array([None if t is None else len(t) for t in new], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.join(terms, same, "left").select(*[docs[c] for c in names], "_terms").mapInArrow(run, docs.schema)
+    may = F.coalesce(F.col("text").rlike("[@0-9]"), F.lit(False))
+    some = docs.where(may)
+    found = some.join(terms.hint("shuffle_hash"), same, "left").select(*[some[c] for c in names], "_terms").mapInArrow(run, docs.schema)
+    return docs.where(~may).unionByName(found)
 
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(show(spans).encode()).hexdigest()
