@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ END_ID = 1
 GROUPS = 40
 #: A length is large if it is over capacity / k; the plan with the fewest sequences over these k is taken.
 LARGE_PARTS = (2, 3, 8)
-#: Entries of a generation of a worker's word cache; two generations are held.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker keeps, besides the latest batch's; over that, those not met again go.
+CACHE_WORDS = 600_000
 _MAX_ROUNDS = 1500
 _KEY_SHIFT = 44  # a rank within a length stays below 2^44
 
@@ -45,12 +46,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 
 class WordIds:
-    """The ids of words without white space, as little-endian 32-bit bytes, in a cache of two generations.
+    """The ids of texts by their words without white space; ids of words seen lately are kept.
 
-    The tokenizer drops white space and no rule of it reaches across, so a text's ids are its words' ids in a row. Words
-    that are new to a batch of texts are encoded together, by the same merges over pre-tokens that are made here: a
-    pre-token's last id, and no other, ends a word, so the ids of a row of words can be told apart. Words of unusual
-    signs take the tokenizer's whole path.
+    The tokenizer drops white space and no rule of it reaches across, so a text's ids are its words' ids in a row. Words are
+    split, told apart and looked up in Arrow. Those that are new are encoded together, by the same merges over pre-tokens that
+    are made here: a pre-token's last id, and no other, ends a word, so the ids of a row of words can be told apart. Words of
+    unusual signs take the tokenizer's whole path.
     """
 
     def __init__(self, path: str):
@@ -73,49 +74,83 @@ class WordIds:
         made = json.loads(self.tokenizer.to_str())
         self.merges = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # what is kept: words, each one's start and length in the pool of ids, and whether it was met again
+        self.known = pa.array([], pa.string())
+        self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.again = np.zeros(0, bool)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.young) + len(words) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        new = []
-        for word in [w for w in words if w not in self.young]:
-            if (ids := self.old.get(word)) is not None:
-                self.young[word] = ids
-            elif self.plain.fullmatch(word):
-                new.append(word)
-            else:
-                self.young[word] = self.encode(word)
-        if not new:
-            return
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and length of each word's ids, and the ids."""
+        start, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        plain, odd = [], []
+        for i, word in enumerate(words):
+            (plain if self.plain.fullmatch(word) else odd).append(i)
+        ascii_words = [i for i in plain if words[i].isascii()]  # printable ASCII stands for itself, the others are mapped
+        n_ascii = len(ascii_words)
+        plain = ascii_words + [i for i in plain if not words[i].isascii()]
         pre, parts = [], []
-        for word in " ".join(new).lower().split(" "):
-            own = [word] if word.isalpha() else self.pre_tokens.findall(word)
-            pre += own
-            parts.append(len(own))
-        text = " ".join(pre).encode().decode("latin-1").translate(self.letters)
-        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
+        for word in " ".join([words[i] for i in plain]).lower().split(" ") if plain else ():
+            if word.isalpha():
+                pre.append(word)
+                parts.append(1)
+            else:
+                own = self.pre_tokens.findall(word)
+                pre += own
+                parts.append(len(own))
+        n = sum(parts[:n_ascii])
+        text = " ".join(pre[:n]) + " " + " ".join(pre[n:]).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
         if len(ends) != len(pre):  # a tokenizer of another make: each word for itself
-            self.young.update((word, self.encode(word)) for word in new)
-            return
-        cuts = [0, *(4 * ends[np.cumsum(parts) - 1]).tolist()]
-        raw = ids.tobytes()
-        self.young.update((word, raw[lo:hi]) for word, lo, hi in zip(new, cuts, cuts[1:], strict=False))
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        # \x1c to \x1f split for Python, not for the tokenizer
-        split = [None if re.search("[\x1c-\x1f]", t) else t.split() for t in texts]
-        for at in range(0, len(split), 64):
-            own = split[at : at + 64]
-            self.learn(set().union(*filter(None, own)))
-            for words, text in zip(own, texts[at : at + 64], strict=True):
-                yield self.encode(text) if words is None else b"".join(map(self.young.__getitem__, words))
+            odd, plain, ids = odd + plain, [], ids[:0]
+        if plain:
+            cuts = np.concatenate(([0], ends[np.cumsum(parts) - 1]))
+            start[plain], length[plain] = cuts[:-1], np.diff(cuts)
+        pool, at = [ids], len(ids)
+        for i in odd:
+            own = np.frombuffer(self.encode(words[i]), "<u4")
+            start[i], length[i] = at, len(own)
+            at += len(own)
+            pool.append(own)
+        return start, length, np.concatenate(pool).astype("<u4")
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, as little-endian 32-bit bytes."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.again[place[place >= 0]] = True
+        new = coded.dictionary.filter(pa.array(place < 0))
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        start, length, pool = self.encode_words(new.to_pylist())
+        self.start, self.length = np.concatenate((self.start, start + len(self.pool))), np.concatenate((self.length, length))
+        self.known, self.pool = pa.concat_arrays([self.known, new]), np.concatenate((self.pool, pool))
+        self.again = np.concatenate((self.again, np.zeros(len(new), bool)))
+        start, length, pool = self.start[place], self.length[place], self.pool
+        if len(self.known) > CACHE_WORDS:  # words that were not met again go
+            self.known = self.known.filter(pa.array(self.again))
+            self.pool = _taken(self.pool, self.start[self.again], self.length[self.again])
+            self.length = self.length[self.again]
+            self.start = np.cumsum(self.length) - self.length
+            self.again = np.zeros(len(self.known), bool)
+        at = coded.indices.to_numpy()
+        cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        for lo in range(0, len(cuts) - 1, 64):  # so that what is made of some texts stays in the processor's cache
+            own = cuts[lo : lo + 65]
+            word = at[own[0] : own[-1]]
+            ids = _taken(pool, start[word], length[word])
+            edges = np.concatenate(([0], np.cumsum(length[word])))[own - own[0]].tolist()
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield ids[a:b].tobytes()
+
+
+def _taken(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The pool's stretches in a row."""
+    ends = np.cumsum(length)
+    return pool[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 _words: dict[str, WordIds] = {}
@@ -135,8 +170,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         words, part, seen = word_ids(tokenizer_path), TaskContext.get().partitionId(), {}
         for batch in batches:
             out: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), words.texts(texts), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.texts(batch.column(1)), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -342,5 +376,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     # the rank of a task's first piece of a length: a running sum over tasks, of at most one row for each task and length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(first.hint("shuffle_hash"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
