@@ -35,6 +35,9 @@ SEED = 42
 WIDE_SHINGLE, WIDE_DISTANCE = 5, 10
 #: Start and width of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Near-duplicates share so much of their shingles (Jaccard). Pairs at just that meet in none of the BANDS bands of ROWS least
+#: values with p = (1 - 0.8^4)^24 = 3e-6.
+SIMILARITY, BANDS, ROWS = 0.8, 24, 4
 #: Different fingerprints that share a 32-bit half, above which the second level takes over.
 HOT = 4096
 #: Rows of a bucket up to which neighbours in sorted order are compared by shifts.
@@ -44,29 +47,57 @@ SHORT = 12
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TO_SPACE = bytes(0x20 if c in _SPACE else c for c in _LOWER)
+# odd factors, which order the hashes anew
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 values of the text's word shingles, in order; of all its words where they are fewer; none without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TO_SPACE).split(b" ")
     words = [w for w in words if w] if b"" in words else words
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line, n = b" ".join(words), len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
     if n <= 1:
-        return digest(line, SEED)
+        return np.array([digest(line, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = (ends[:n] - np.array([len(w) + 1 for w in words[:n]])).tolist()
-    h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], ">u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes; 0 without any."""
+    n = len(hashes)
+    if n <= 1:
+        return int(hashes[0]) if n else 0
+    h = hashes.astype(">u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         counts += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of the least values of the shingle hashes under the band's ROWS orders."""
+    least = np.full(len(_ORDERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), 1024):
+        least = np.minimum(least, (distinct[at : at + 1024, None] * _ORDERS).min(0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
@@ -205,6 +236,132 @@ def wide_links(different: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame
     return _bucketed(wide_keys(different), distance)
 
 
+# --- verified links ---------------------------------------------------------------------------------------------------
+
+
+def _alike(marks: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join whatever of these sets is joined by pairs of the similarity: each set met is held against all left."""
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    starts = ends - np.array([len(x) for x in sets])
+    has, so_far = np.zeros(len(ids) + 1, bool), np.zeros(len(ids) + 1, np.int64)
+    out, left = [], np.arange(len(sets))
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            own = ids[starts[x] : ends[x]]
+            has[own] = True
+            np.cumsum(has[ids], out=so_far[1:])
+            has[own] = False
+            both = so_far[ends[left]] - so_far[starts[left]]
+            near = both / np.maximum(len(own) + ends[left] - starts[left] - both, 1) >= similarity
+            out += [(int(marks[y]), int(marks[x])) for y in left[near]]
+            front += list(left[near])
+            left = left[~near]
+    return out
+
+
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, mark, hashes) rows to links; a bucket that runs past a batch's end waits for the next."""
+    key, held = None, {}
+
+    def send() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            marks = sorted(held)
+            found = _alike(np.array(marks), [np.frombuffer(held[m], np.uint64) for m in marks], similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ("a", "b"))
+
+    for batch in batches:
+        for k, mark, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key:
+                yield from send()
+                key, held = k, {}
+            held[mark] = hashes
+    yield from send()
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, mark (a hash of the set of shingles), bits and band keys of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            marks, bits, keys = [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                distinct = np.unique(hashes)
+                marks.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+                bits.append(majority(hashes))
+                keys.append(band_keys(distinct).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(marks), _signed(bits), pa.array(keys, pa.list_(pa.int64()))], ("doc_id", "text_hash", "mark", "bits", "keys"))
+
+    small_batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, text_hash long, mark long, bits long, keys array<bigint>")
+
+
+def _filed(nodes: DataFrame, distance: int) -> DataFrame:
+    """key, mark: candidates share a key. Keys are a set's bands, its fingerprint, and links between fingerprints, of each
+    fingerprint the one to its least neighbour, so that a large group gives no more of them than it has members."""
+    bands = nodes.select(F.explode("keys").alias("key"), "mark")
+    same = nodes.select(F.xxhash64(F.lit("bits"), "bits").alias("key"), "mark")
+    of = stash(nodes.groupBy("bits").agg(F.min("mark").alias("mark")), "marks")
+    wide = wide_links(of.select("bits"), distance).groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b"))
+    pairs = wide.join(of.select(F.col("bits").alias("a"), F.col("mark").alias("x")), "a").join(of.select(F.col("bits").alias("b"), F.col("mark").alias("y")), "b")
+    linked = pairs.select(F.xxhash64(F.lit("link"), "a", "b").alias("key"), F.explode(F.array("x", "y")).alias("mark"))
+    return bands.unionByName(same).unionByName(linked)
+
+
+def _least_rows(docs: DataFrame, shingle: int, distance: int, similarity: float) -> DataFrame:
+    """doc_id, text_hash, n: the least row of each component and how often it stands there (ids come before none)."""
+    signed = stash(_signatures(docs, shingle), "signed")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = stash(signed.groupBy("mark").agg(F.min(row).alias("row"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
+    filed = stash(_filed(nodes, distance), "filed")
+    # buckets of the same members are looked at once
+    buckets = filed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("mark")).alias("members")).where("n > 1")
+    buckets = buckets.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
+    asked = filed.join(buckets, "key").groupBy("mark").agg(F.collect_set("key").alias("keys"))
+    asked = asked.join(nodes.select("mark", "row.doc_id", "row.text_hash"), "mark").select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash"), "mark", "keys")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("text_hash") == F.col("_hash"))).select("mark", "keys", "text")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mark, keys, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = np.unique(shingle_hashes(text, shingle)).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([mark] * len(keys), pa.int64()), pa.array([hashes] * len(keys), pa.binary())], ("key", "mark", "hashes"))
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = texts.mapInArrow(spread, "key long, mark long, hashes binary").repartition(n, "key").sortWithinPartitions("key")
+    of = components(sets.mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long")).withColumnRenamed("node", "mark")
+    least = nodes.select("mark", "row").join(of, "mark", "left").groupBy(F.coalesce("component", "mark").alias("component")).agg(F.min("row").alias("row"))
+    least = least.select("row.doc_id", "row.text_hash")
+    times = signed.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    same = F.col("l.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("l.text_hash") == F.col("t.text_hash"))
+    return stash(least.alias("l").join(times.alias("t"), same).select("l.doc_id", "l.text_hash", "n"), "kept")
+
+
+def _keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that kept (doc_id, text_hash, n) names, once each. The kept rows grow with the documents, so they are
+    dealt out at every size; only they are hashed in memory."""
+    named = kept.select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash"), "n")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (_text_hash() == F.col("_hash"))
+    once = docs.join(named.where("n = 1").hint("shuffle_hash"), same, "left_semi")
+    repeated = named.where("n > 1")
+    if not repeated.take(1):
+        return once
+    more = docs.join(repeated, same, "left_semi").withColumn("_hash", _text_hash()).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return once.unionByName(more)
+
+
 # --- the operator -----------------------------------------------------------------------------------------------------
 
 
@@ -228,11 +385,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, dis
     return prints.join(by_bits, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE) -> DataFrame:
+def keep_representatives(docs: DataFrame, shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE, similarity: float | None = None) -> DataFrame:
     """The rows of docs whose doc_id is their component's least, one for each component; all columns are kept.
 
-    Rows without a doc_id are kept only where their component has no doc_id at all, once for each text then.
+    Rows without a doc_id are kept only where their component has no doc_id at all, once for each text then. With a
+    similarity, components are made of pairs that share so much of their shingles; links of fingerprints are candidates only.
     """
+    if similarity is not None:
+        return _keep_rows(docs, _least_rows(docs, shingle, distance, similarity))
     near = near_duplicates(docs, shingle, distance=distance)
     ids = near.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     # the kept ids grow with the documents, so they are dealt out by id at every size; only they are hashed in memory

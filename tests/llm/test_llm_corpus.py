@@ -142,6 +142,38 @@ def test_representatives(spark):
     assert simhash.keep_representatives(df.where("false")).count() == 0 and simhash.near_duplicates(df.where("false")).count() == 0
 
 
+def shingle_set(text, size=5):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def test_verified_representatives(spark):
+    """Components by brute-force Jaccard: pairs under 0.8 that fingerprints link stay, pairs at 0.8 that they miss go."""
+    rng = random.Random(6)
+    texts = near_texts(5, 14, 5)
+    for n in (50, 100, 300):  # one stretch changed, to a similarity of 0.8 and a little under and over
+        for cut in range(n // 14, n // 7):
+            base = words_of(rng, n)
+            texts += [" ".join(base), " ".join(base[:cut] + base[2 * cut :])]
+    sets = [shingle_set(t) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)]
+    parent = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            parent[i] = parent[j] = min(parent[i], parent[j])
+    df = docs(spark, texts)
+    got = simhash.keep_representatives(df, similarity=0.8)
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(parent))
+    by_bits = classes([brute_simhash(t, 5) for t in texts], 10)
+    assert sorted(set(by_bits)) != sorted(set(parent))
+    odd = df.unionByName(df.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "quite another text of its own here", "a", "b", 1)] * 2 + [(None, texts[0], "a", "b", 1)], DOCS))
+    got = simhash.keep_representatives(odd, similarity=0.8).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(set(parent)) and len(got) == len(set(parent)) + 1
+    assert simhash.keep_representatives(df.where("false"), similarity=0.8).count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(200, 200), (300, 299), (299, 300)]
     random.Random(1).shuffle(edges)
