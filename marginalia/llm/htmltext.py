@@ -8,9 +8,10 @@ host's template; classes in every page that occur several times, and optional on
 in it. The gaps between the template's tokens are its slots: what a page has there is its own.
 
 A slot's text is taken if no element that holds it, in its path, is a page's furniture (navigation, header, footer, sidebar,
-notice, advert, form, comments, ...). Where a page has an article or main element, only slots inside count. Elsewhere, text
-segments that belong to the template are furniture too, unless nothing would be left. Hosts with too few pages have no template
-and go by paths alone.
+notice, advert, form, comments, ...). Where a page has an article or main element, only slots inside count, and blocks all of
+whose text segments belong to the template are furniture, unless these are over half of the text (copies of one article on many
+of a host's pages). Elsewhere, text segments that belong to the template are furniture too, unless nothing would be left. Hosts
+with too few pages have no template and go by paths alone.
 """
 
 from __future__ import annotations
@@ -162,21 +163,26 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """The main text: blocks in page order, joined by an empty line."""
     piece: list[str] = []
     pages_main, inside, outside = False, [], []
+    own = False  # whether a segment of the piece is not the template's
 
-    def flush(into: list[str]) -> None:
+    def flush(into: list[tuple[str, bool]]) -> None:
+        nonlocal own
         text = " ".join(html.unescape("".join(piece)).split())
         piece.clear()
         if text:
-            into.append(text)
+            into.append((text, own))
+        own = False
 
     target = outside
     for step in walk(page or ""):
         if step.kind == "text":
             if step.furniture:
                 continue
-            if not step.main and template and token_hash(step) in template:
+            known = bool(template) and token_hash(step) in template
+            if known and not step.main:
                 continue
             piece.append(step.text)
+            own = own or not known and not step.text.isspace()
         else:
             if step.name == "br":
                 piece.append(" ")
@@ -194,7 +200,10 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     blocks = inside if pages_main else outside
     if not blocks and template and not pages_main:
         return extract(page)
-    return "\n\n".join(blocks)
+    kept = [text for text, own in blocks if own]
+    if 2 * sum(map(len, kept)) < sum(len(text) for text, _ in blocks):
+        kept = [text for text, _ in blocks]
+    return "\n\n".join(kept)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -285,6 +285,18 @@ def test_templates(spark):
     assert htmltext.extract_pages(df.where("false")).count() == 0
 
 
+def test_templates_inside_articles(spark):
+    """A host's repeated block of an unlisted class goes; a repeated word within a sentence and copies of an article stay."""
+    block = '<div class="offer"><h4>Buy today</h4><p>Only <b>now</b></p></div>'
+    rows = [(i, "http://a.com/x", page(f"<article><p>own text {i} of this page, see <a href=y>here</a> for more</p>{block}</article>")) for i in range(12)]
+    rows += [(20 + i, "http://a.com/x", page(f"<article><h1>The copied text</h1><p>stands on many pages</p><p>as it is</p>{block}</article>")) for i in range(8)]
+    rows += [(40, "http://b.com/x", page(f"<article><p>own text</p>{block}</article>"))]
+    got = {r.page_id: r.text for r in htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own text {i} of this page, see here for more" for i in range(12))
+    assert all(got[20 + i].startswith("The copied text\n\nstands on many pages\n\nas it is") for i in range(8))
+    assert got[40] == "own text\n\nBuy today\n\nOnly now"
+
+
 def test_urls(spark):
     urls = ["http://A.com/en/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "https://m.www.example.com/en/", "http://x.net/es/1", "http://x.net/esx", "net/es/", None, "http://net/fr/#a", "http://casino.org/a", "http://casinos.org/a", "http://cheap-pills.org", "http://cheap.org/cheap", "x://h?p://y", "http://a.com", ""]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x"), (None, "http://b.com/", "y")], "page_id long, url string, host string")
