@@ -1,20 +1,20 @@
 """Personal data: patterns for protected entities, and information-theoretic sanitisation of the terms that reveal them.
 
-Entities are e-mail addresses, IP addresses, card numbers and phone numbers. A term is a word near an entity's mention. From
-counts over the whole corpus, in rows: how strongly term t reveals entity e is their pointwise mutual information over the
-entity's information content, log(N c(t,e) / (c(t) c(e))) / log(N / c(e)), which is 1 if t never stands without e. Terms
-at or over DISCLOSURE, seen with the entity in MIN_ROWS rows at least, become spans as well. In sanitised texts entities are
-generalised to their kind and such terms are removed.
+Entities are e-mail addresses, IP addresses, card numbers and phone numbers. A term is a word of a text that has an entity's
+mention. From counts over the whole corpus, in rows: how strongly term t reveals entity e is their pointwise mutual information
+over the entity's information content, log(N c(t,e) / (c(t) c(e))) / log(N / c(e)), which is 1 if t never stands without e.
+Terms at or over DISCLOSURE, seen with the entity in MIN_ROWS rows at least, become spans as well, wherever they stand in any
+text. In sanitised texts entities are generalised to their kind and such terms are removed.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +22,6 @@ from marginalia.llm.common import small_batches, stash
 
 DISCLOSURE = 0.9
 MIN_ROWS = 3
-#: Words on each side of a mention, within so many characters.
-NEAR_WORDS, NEAR_CHARS = 6, 120
 #: Different terms that a task counts before it hands the counts on.
 COUNTED = 200_000
 
@@ -84,21 +82,6 @@ def show(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near each mention that lie in no base span."""
-    taken = merge(spans)
-    starts = [s for _, s, _ in taken]  # merged spans do not overlap, so their ends are in order too
-    for _, start, end in spans:
-        entity = text[start:end].lower()
-        lo, hi = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-        left = [m for m in _WORD.finditer(text, lo, start) if m.start() > lo or lo == 0][-NEAR_WORDS:]
-        right = [m for m in _WORD.finditer(text, end, hi) if m.end() < hi or hi == len(text)][:NEAR_WORDS]
-        inside = [(s, e) for _, s, e in taken[max(0, bisect_right(starts, lo) - 1) : bisect_left(starts, hi)]]
-        for m in left + right:
-            if not any(s < m.end() and e > m.start() for s, e in inside):
-                yield entity, m[0].lower(), m.start(), m.end()
-
-
 def merge(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans by start; those that overlap are one, of the first one's kind."""
     out: list[list] = []
@@ -110,76 +93,83 @@ def merge(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return [tuple(x) for x in out]
 
 
-_SEEN = {
-    "what": pa.int32(), "doc_id": pa.int64(), "mark": pa.int64(), "n_email": pa.int64(), "n_ip": pa.int64(), "n_card": pa.int64(), "n_phone": pa.int64(),
-    "base": pa.string(), "entity": pa.string(), "term": pa.string(), "first": pa.int64(), "start": pa.int64(), "end": pa.int64(),
-}
-_SEEN_DDL = "what int, doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base string, entity string, term string, first long, start long, end long"
-_DOC, _NEAR, _ENTITY, _TERM = range(4)
+def entities(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """What a text's mentions count as."""
+    return {text[start:end].lower() for _, start, end in spans}
+
+
+def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words that lie in no span."""
+    taken = merge(spans)
+    at = 0
+    for m in _WORD.finditer(text):
+        while at < len(taken) and taken[at][2] <= m.start():
+            at += 1
+        if at == len(taken) or taken[at][1] >= m.end():
+            yield m[0].lower(), m.start(), m.end()
+
+
+_SEEN = {"what": pa.int32(), "row": pa.int64(), "entity": pa.string(), "term": pa.string(), "n": pa.int64()}
+_SEEN_DDL = "what int, row long, entity string, term string, n long"
+_ROWS, _ENTITY, _WITH, _TERM = range(4)
 
 
 def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over the texts: a row for each document, for each word near a mention, for each document's entity, and
-    partial counts of the rows that have a term."""
+    """One pass over the texts: how many they are, a row for each entity of a text and for each term of a text that has
+    entities, and partial counts of the rows that have a term. Texts are numbered."""
     counts: Counter[str] = Counter()
+    row = TaskContext.get().partitionId() << 40
 
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * len(_SEEN)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _SEEN.values(), strict=True)], list(_SEEN))
+    def made(what: int, size: int, **columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([what] * size, pa.int32()), *(pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in list(_SEEN.items())[1:])], list(_SEEN))
 
     def counted() -> Iterator[pa.RecordBatch]:
-        nothing = pa.nulls
         terms = list(counts)
         for at in range(0, len(terms), 50_000):
             own = terms[at : at + 50_000]
-            made = {"what": pa.array([_TERM] * len(own), pa.int32()), "term": pa.array(own, pa.string()), "first": pa.array([counts[t] for t in own], pa.int64())}
-            yield pa.RecordBatch.from_arrays([made.get(c, None) if c in made else nothing(len(own), k) for c, k in _SEEN.items()], list(_SEEN))
+            yield made(_TERM, len(own), term=own, n=[counts[t] for t in own])
         counts.clear()
 
     for batch in batches:
-        out = []
-        for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        yield made(_ROWS, 1, n=[batch.num_rows])
+        for text in batch.column(0):
             text = text.as_py() or ""
             spans = base_spans(text)
-            n = Counter(k for k, _, _ in spans)
-            out.append((_DOC, doc, mark, *(n[k] for k in KINDS), show(spans), None, None, None, None, None))
+            row += 1
             if spans:
-                out += [(_ENTITY, doc, mark, *[None] * 5, e, None, 1, None, None) for e in {text[s:e].lower() for _, s, e in spans}]
-                known = set()
-                for entity, term, start, end in near_terms(text, spans):
-                    out.append((_NEAR, doc, mark, *[None] * 5, entity, term, int((entity, term) not in known), start, end))
-                    known.add((entity, term))
+                found, terms = sorted(entities(text, spans)), sorted({t for t, _, _ in free_words(text, spans)})
+                yield made(_ENTITY, len(found), row=[row] * len(found), entity=found)
+                if terms:
+                    yield made(_WITH, len(terms), row=[row] * len(terms), term=terms)
             counts.update(set(_WORD.findall(text.lower())))
             if len(counts) > COUNTED:
                 yield from counted()
-        yield rows(out)
     yield from counted()
 
 
 def _seen(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(_see, _SEEN_DDL), "seen")
+    return stash(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_see, _SEEN_DDL), "seen")
 
 
 def disclosing_terms(seen: DataFrame, disclosure: float = DISCLOSURE, min_rows: int = MIN_ROWS) -> DataFrame:
     """entity, term, strength of the terms that disclose an entity."""
-    pairs = seen.where(F.col("what") == _NEAR).groupBy("entity", "term").agg(F.sum("first").alias("both")).where(F.col("both") >= min_rows)
-    terms = seen.where(F.col("what") == _TERM).select("term", "first").join(pairs.select("term").distinct(), "term", "left_semi")
-    terms = terms.groupBy("term").agg(F.sum("first").alias("n_term"))
-    entities = seen.where(F.col("what") == _ENTITY).groupBy("entity").agg(F.sum("first").alias("n_entity"))
-    total = seen.where(F.col("what") == _DOC).count()
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    reveals = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("n_term") * F.col("n_entity").cast("double")))
-    joined = pairs.join(terms, "term").join(entities, "entity").where(information > 0)
+    total = float(max(seen.where(F.col("what") == _ROWS).agg(F.sum("n")).first()[0] or 0, 1))
+    mentions = seen.where(F.col("what") == _ENTITY).select("row", "entity")
+    found = stash(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= min_rows) & (F.col("n_entity") < total)), "entities")
+    counts = seen.where(F.col("what") == _TERM).groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= min_rows)
+    beside = seen.where(F.col("what") == _WITH).select("row", "term")
+    pairs = mentions.join(found.select("entity"), "entity").join(beside, "row").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_rows)
+    information = F.log2(F.lit(total) / F.col("n_entity"))
+    reveals = F.log2(F.lit(total) * F.col("both") / (F.col("n_term") * F.col("n_entity").cast("double")))
+    joined = pairs.join(counts, "term").join(found, "entity")
     return joined.select("entity", "term", (reveals / information).alias("strength")).where(F.col("strength") >= disclosure)
 
 
-def _term_spans(seen: DataFrame) -> DataFrame:
-    """doc_id, mark, terms: the spans of disclosing terms in each text that has any, by start."""
-    found = seen.where(F.col("what") == _NEAR).select("doc_id", "mark", "entity", "term", "start", "end").join(disclosing_terms(seen), ["entity", "term"])
-    spans = found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return spans
+def _terms(docs: DataFrame) -> frozenset[str]:
+    """The terms that disclose any entity. They come to the driver and go to all tasks: each needs MIN_ROWS rows, most of them
+    with one entity, so they are a small share of the vocabulary."""
+    return frozenset(r["term"] for r in disclosing_terms(_seen(docs)).select("term").distinct().collect())
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -189,49 +179,55 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     null text is empty; null ids and repeated rows pass through (repeated rows count as often as they stand there); other
     columns are not carried; an empty table gives an empty result.
     """
-    seen = _seen(docs)
-    terms = _term_spans(seen)
-    shown = F.concat_ws(",", F.transform("terms", lambda x: F.concat(F.lit("term:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))))
-    extra = terms.select(F.col("doc_id").alias("of"), F.col("mark").alias("text_mark"), shown.alias("shown"), F.size("terms").cast("long").alias("n_term"))
-    base = seen.where(F.col("what") == _DOC)
-    both = base.join(extra, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("text_mark")), "left")
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("shown"))
-    return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), F.coalesce("n_term", F.lit(0).cast("long")).alias("n_term"))
-
-
-def clean_text(text: str, terms: list[tuple[int, int]]) -> str:
-    spans = merge([*base_spans(text), *(("", s, e) for s, e in terms)])
+    known = _terms(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, shown, spans, n_term = [], [], [], []
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                base = base_spans(text)
+                n = Counter(k for k, _, _ in base)
+                terms = [("term", s, e) for t, s, e in free_words(text, base) if t in known] if known else []
+                counts.append([n[k] for k in KINDS])
+                shown.append(show(base))
+                spans.append(show([*base, *terms]))
+                n_term.append(len(terms))
+            columns = [*(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))), pa.array(shown, pa.string()), pa.array(spans, pa.string()), pa.array(n_term, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "n_term"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = own.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_term long")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_term")
+
+
+def clean_text(text: str, known: frozenset[str]) -> str:
+    base = base_spans(text)
+    terms = [("", s, e) for t, s, e in free_words(text, base) if t in known] if known else []
     out, at = [], 0
-    for kind, start, end in spans:
+    for kind, start, end in merge([*base, *terms]):
         out += [text[at:start], f"[{kind.upper()}]" if kind else ""]
         at = end
-    return "".join([*out, text[at:]]) if spans else text
+    return "".join([*out, text[at:]])
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with entities generalised to their kind and disclosing terms removed; n_chars, if there, counts the new text.
 
-    All columns and rows are kept; a null text stays null. Only texts with an at sign or a digit can have an entity, and so
-    terms; the others are not moved.
+    All columns and rows are kept; a null text stays null.
     """
-    terms = _term_spans(_seen(docs)).select(F.col("doc_id").alias("_of"), F.col("mark").alias("_mark"), F.col("terms").alias("_terms"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_mark"))
+    known = _terms(docs)
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(batch.num_columns - 1).to_pylist()
-            new = [t if t is None else clean_text(t, [(x["start"], x["end"]) for x in own or ()]) for t, own in zip(batch.column(at).to_pylist(), found, strict=True)]
-            columns = list(batch.columns)[:-1]
+            new = [t if t is None else clean_text(t, known) for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
             columns[at] = pa.array(new, pa.string())
             if "n_chars" in names:
                 i = names.index("n_chars")
                 columns[i] = pa.array([None if t is None else len(t) for t in new], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    may = F.coalesce(F.col("text").rlike("[@0-9]"), F.lit(False))
-    some = docs.where(may)
-    found = some.join(terms.hint("shuffle_hash"), same, "left").select(*[some[c] for c in names], "_terms").mapInArrow(run, docs.schema)
-    return docs.where(~may).unionByName(found)
-
+    return docs.mapInArrow(run, docs.schema)
