@@ -1,10 +1,11 @@
 """Personal data: patterns for protected entities, and information-theoretic sanitisation of the terms that reveal them.
 
-Entities are e-mail addresses, IP addresses, card numbers and phone numbers. A term is a word of a text that has an entity's
+Entities are e-mail addresses, IP addresses, card numbers and phone numbers, and what these share: e-mail domains, the first
+digits of numbers, kinds. So a term counts where single mentions do not recur. A term is a word of a text that has an entity's
 mention. From counts over the whole corpus, in rows: how strongly term t reveals entity e is their pointwise mutual information
 over the entity's information content, log(N c(t,e) / (c(t) c(e))) / log(N / c(e)), which is 1 if t never stands without e.
 Terms at or over DISCLOSURE, seen with the entity in MIN_ROWS rows at least, become spans as well, wherever they stand in any
-text. In sanitised texts entities are generalised to their kind and such terms are removed.
+text; for what mentions share, chance has to be ruled out too (CHANCE_BITS). In sanitised texts entities are generalised to their kind and such terms are removed.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from marginalia.llm.common import small_batches, stash
 
 DISCLOSURE = 0.9
 MIN_ROWS = 3
+#: Bits of pointwise mutual information over all rows of a term and what mentions share, at least.
+CHANCE_BITS = 16
+#: First digits of a card number and of a phone number that stand for those that share them.
+CARD_DIGITS, PHONE_DIGITS = 4, 4
 #: Different terms that a task counts before it hands the counts on.
 COUNTED = 200_000
 
@@ -94,8 +99,18 @@ def merge(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def entities(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
-    """What a text's mentions count as."""
-    return {text[start:end].lower() for _, start, end in spans}
+    """What a text's mentions count as: themselves, and what they share with others, which has a star."""
+    out = set()
+    for kind, start, end in spans:
+        own = text[start:end].lower()
+        if kind == "email":
+            shared = "*" + own[own.index("@") :]
+        elif kind == "ip":
+            shared = ".".join(own.split(".")[:2]) + ".*"
+        else:
+            shared = "".join(_DIGIT.findall(own))[: CARD_DIGITS if kind == "card" else PHONE_DIGITS] + "*"
+        out |= {own, f"{kind}:{shared}", f"{kind}:*"}
+    return out
 
 
 def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
@@ -162,7 +177,8 @@ def disclosing_terms(seen: DataFrame, disclosure: float = DISCLOSURE, min_rows:
     pairs = mentions.join(found.select("entity"), "entity").join(beside, "row").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_rows)
     information = F.log2(F.lit(total) / F.col("n_entity"))
     reveals = F.log2(F.lit(total) * F.col("both") / (F.col("n_term") * F.col("n_entity").cast("double")))
-    joined = pairs.join(counts, "term").join(found, "entity")
+    no_chance = ~F.col("entity").contains("*") | (F.col("both") * reveals >= CHANCE_BITS)
+    joined = pairs.join(counts, "term").join(found, "entity").where(no_chance)
     return joined.select("entity", "term", (reveals / information).alias("strength")).where(F.col("strength") >= disclosure)
 
 

@@ -231,6 +231,20 @@ def test_terms_anywhere_in_any_text(spark):
     assert clean[220] == "common words of  here" and "zorgblatt" not in clean[3] and clean[100] == texts[100]
 
 
+def test_terms_of_what_mentions_share(spark):
+    """No mention recurs, but a domain, the first digits and a kind do; a common kind's chance companions are no terms."""
+    texts = [f"common words here mail p{i}@zorg.example.com staffname" for i in range(4)]
+    texts += [f"common words here call +1 (555) 123-45{i:02} callname" for i in range(4)]
+    texts += [f"common words here {w} host 10.0.{i}.{w} " for i in range(4) for w in (1, 2)]
+    texts += [f"common words here and mail q@{'x' * i}.org" for i in range(1, 31)] + [f"common words here {'rare' if i < 3 else ''}" for i in range(60)]
+    found = pii.disclosing_terms(pii._seen(docs(spark, texts))).collect()
+    by = {(r.entity, r.term) for r in found}
+    assert {("email:*@zorg.example.com", "staffname"), ("phone:1555*", "callname"), ("phone:*", "callname"), ("ip:10.0.*", "host"), ("ip:*", "host")} <= by
+    assert not {t for _, t in by} & {"common", "words", "here", "rare"}
+    half = [f"mail r@{'y' * (i + 1)}.net {'chance' if i < 3 else ''}" for i in range(40)] + ["nothing here"] * 40
+    assert "chance" not in {r.term for r in pii.disclosing_terms(pii._seen(docs(spark, half))).collect()}
+
+
 def test_strength_by_brute_force(spark):
     texts = leaking()[:45]
     seen = pii._seen(docs(spark, texts).where("doc_id is not null and lang is not null").dropDuplicates(["doc_id"]))
