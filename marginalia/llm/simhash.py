@@ -343,7 +343,11 @@ def _least_rows(docs: DataFrame, shingle: int, distance: int, similarity: float)
     sets = texts.mapInArrow(spread, "key long, mark long, hashes binary").repartition(n, "key").sortWithinPartitions("key")
     of = components(sets.mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long")).withColumnRenamed("node", "mark")
     least = nodes.select("mark", "row").join(of, "mark", "left").groupBy(F.coalesce("component", "mark").alias("component")).agg(F.min("row").alias("row"))
-    least = least.select("row.doc_id", "row.text_hash")
+    return _counted(signed, least.select("row.doc_id", "row.text_hash"))
+
+
+def _counted(signed: DataFrame, least: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n: these rows and how often each stands in signed."""
     times = signed.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     same = F.col("l.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("l.text_hash") == F.col("t.text_hash"))
     return stash(least.alias("l").join(times.alias("t"), same).select("l.doc_id", "l.text_hash", "n"), "kept")
@@ -388,29 +392,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, dis
 def keep_representatives(docs: DataFrame, shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE, similarity: float | None = None) -> DataFrame:
     """The rows of docs whose doc_id is their component's least, one for each component; all columns are kept.
 
-    Rows without a doc_id are kept only where their component has no doc_id at all, once for each text then. With a
+    Rows without a doc_id are kept only where their component has no doc_id at all, one for each component then. With a
     similarity, components are made of pairs that share so much of their shingles; links of fingerprints are candidates only.
     """
     if similarity is not None:
         return _keep_rows(docs, _least_rows(docs, shingle, distance, similarity))
-    near = near_duplicates(docs, shingle, distance=distance)
-    ids = near.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    # the kept ids grow with the documents, so they are dealt out by id at every size; only they are hashed in memory
-    kept = stash(ids, "kept")
-    once = docs.join(kept.where("n = 1 and doc_id is not null").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    repeated = kept.where("n > 1 or doc_id is null")
-    if not repeated.take(1):
-        return once
-    more = docs.where("doc_id is not null").join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    out = once.unionByName(more)
-    if repeated.where("doc_id is null").take(1):
-        out = out.unionByName(_without_id(docs, near, shingle))
-    return out
-
-
-def _without_id(docs: DataFrame, near: DataFrame, shingle: int) -> DataFrame:
-    alone = near.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    rows = docs.where("doc_id is null").dropDuplicates(["text"])
-    own = fingerprints(rows.select(F.xxhash64("text").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("mark"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"))
-    marks = own.join(alone, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("mark").alias("mark"))
-    return rows.withColumn("mark", F.xxhash64("text")).join(marks.select("mark"), "mark", "left_semi").drop("mark")
+    signed = stash(_signatures(docs, shingle).drop("mark", "keys"), "signed")
+    of = components(wide_links(signed.select("bits").distinct(), distance) if distance > DISTANCE else links(signed.select("bits").distinct())).withColumnRenamed("node", "bits")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = signed.groupBy("bits").agg(F.min(row).alias("row")).join(of, "bits", "left").groupBy(F.coalesce("component", "bits").alias("component")).agg(F.min("row").alias("row"))
+    return _keep_rows(docs, _counted(signed, least.select("row.doc_id", "row.text_hash")))

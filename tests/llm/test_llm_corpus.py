@@ -174,6 +174,15 @@ def test_verified_representatives(spark):
     assert simhash.keep_representatives(df.where("false"), similarity=0.8).count() == 0
 
 
+def test_ids_on_rows_of_different_texts(spark):
+    """A clean text is not lost by its id, nor does a near-duplicate stay by it."""
+    a, b, c = (" ".join(words_of(random.Random(i), 60)) for i in (1, 2, 3))
+    rows = [(1, a, "", "", 0), (1, b, "", "", 0), (2, b, "", "", 0), (3, c, "", "", 0), (4, a, "", "", 0), (4, "alone " + c[::-1], "", "", 0)]
+    for own in ({"similarity": 0.8}, {}):
+        got = simhash.keep_representatives(spark.createDataFrame(rows, DOCS), **own).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted((r[0], r[1]) for r in (rows[0], rows[1], rows[3], rows[5]))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(200, 200), (300, 299), (299, 300)]
     random.Random(1).shuffle(edges)
