@@ -15,6 +15,7 @@ documents of the same length.
 from __future__ import annotations
 
 import json
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,7 @@ LARGE_PARTS = (2, 3, 8)
 #: Words whose ids a worker keeps, besides the latest batch's; over that, those not met again go.
 CACHE_WORDS = 600_000
 _MAX_ROUNDS = 1500
+_LOG = logging.getLogger(__name__)
 _KEY_SHIFT = 44  # a rank within a length stays below 2^44
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -51,7 +53,7 @@ class WordIds:
     The tokenizer drops white space and no rule of it reaches across, so a text's ids are its words' ids in a row. Words are
     split, told apart and looked up in Arrow. Those that are new are encoded together, by the same merges over pre-tokens that
     are made here: a pre-token's last id, and no other, ends a word, so the ids of a row of words can be told apart. Words of
-    unusual signs take the tokenizer's whole path.
+    unusual signs, and texts that hold the string of a special token, take the tokenizer's whole path.
     """
 
     def __init__(self, path: str):
@@ -59,7 +61,6 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -72,6 +73,7 @@ class WordIds:
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: 256 + i for i, b in enumerate(others)} | {32: 32}
         made = json.loads(self.tokenizer.to_str())
+        self.special = "|".join(re.escape(t["content"]) for t in made["added_tokens"])
         self.merges = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # what is kept: words, each one's start and length in the pool of ids, and whether it was met again
@@ -119,7 +121,13 @@ class WordIds:
 
     def texts(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, as little-endian 32-bit bytes."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        whole: dict[int, str] = {}
+        if self.special:
+            held = pc.match_substring_regex(texts, self.special)
+            whole = {int(i): texts[int(i)].as_py() for i in np.flatnonzero(held.to_numpy(zero_copy_only=False))}
+            texts = pc.if_else(held, "", texts) if whole else texts
+        split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         self.again[place[place >= 0]] = True
@@ -143,8 +151,8 @@ class WordIds:
             word = at[own[0] : own[-1]]
             ids = _taken(pool, start[word], length[word])
             edges = np.concatenate(([0], np.cumsum(length[word])))[own - own[0]].tolist()
-            for a, b in zip(edges, edges[1:], strict=False):
-                yield ids[a:b].tobytes()
+            for row, (a, b) in enumerate(zip(edges, edges[1:], strict=False), lo):
+                yield self.encode(whole[row]) if row in whole else ids[a:b].tobytes()
 
 
 def _taken(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -242,7 +250,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     s, need = np.array(sizes), np.array(demand, float)
     basis = np.diag((capacity // s).astype(float))
     x = need / np.diag(basis)
-    for _ in range(_MAX_ROUNDS):
+    for _ in range(_MAX_ROUNDS):  # what is then best packs everything as well, only less tightly
         prices = np.linalg.solve(basis.T, np.ones(len(s)))
         value, pattern = knapsack(s, np.maximum(prices, 0), capacity)
         if value <= 1 + 1e-7:
@@ -254,6 +262,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
             break
         basis[:, out] = pattern
         x = np.maximum(np.linalg.solve(basis, need), 0)
+    else:
+        _LOG.warning("column generation stopped after %d rounds for %d sizes: the plan may be less tight", _MAX_ROUNDS, len(s))
     plan, left = [], np.array(demand, dtype=np.int64)
     for j in np.argsort(-x):
         pattern = np.rint(basis[:, j]).astype(np.int64)

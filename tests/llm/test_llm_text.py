@@ -45,17 +45,18 @@ def test_pack(spark):
 
     path = tokenizer_path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = packing.pack(docs(spark, TEXTS), path).collect()
+    texts = [*TEXTS, "hello <|endoftext|> world", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext |>", "<|endoftext|>" * 5000, "after it"]
+    assert t.encode(texts[len(TEXTS)], add_special_tokens=False).ids == [3306, 49407, 1002]
+    rows = packing.pack(docs(spark, texts), path).collect()
     want = []
-    for doc, text in [*enumerate(TEXTS), (None, "no id"), (0, None)]:
+    for doc, text in [*enumerate(texts), (None, "no id"), (0, None)]:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         for piece, at in enumerate(range(0, len(ids), 4096)):
             own = ids[at : at + 4096]
             want.append((doc, piece, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == Counter(want)
     assert check_packing(rows, 4096) <= -(-sum(w[3] for w in want) // 4096) + 1
-    assert packing.pack(docs(spark, TEXTS).where("false"), path).count() == 0
+    assert packing.pack(docs(spark, texts).where("false"), path).count() == 0
 
 
 def replay(hist, capacity):
