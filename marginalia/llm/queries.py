@@ -73,13 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-_URL_TERMS = "".join(
-    f", regexp_matches(low, '(^|[^a-z0-9]){term}($|[^a-z0-9])')::INT AS {kind}_{i}"
-    for kind, terms in (("strict", urlrules.STRICT), ("soft", urlrules.SOFT))
-    for i, term in enumerate(terms)
-)
-_STRICT_SUM = " + ".join(f"strict_{i}" for i in range(len(urlrules.STRICT)))
-_SOFT_SUM = " + ".join(f"soft_{i}" for i in range(len(urlrules.SOFT)))
+_VOCABULARY = ", ".join(f"('{term}', {weight})" for term, weight in urlrules.VOCABULARY.items())
 
 
 def _rule_case(column: str) -> str:
@@ -100,12 +94,16 @@ WITH parts AS (
   SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM parts
-), hits AS (SELECT page_id, host, path{_URL_TERMS} FROM hosts),
-sums AS (SELECT page_id, host, path, {_STRICT_SUM} AS n_strict, {_SOFT_SUM} AS n_soft, {_rule_case('rule')} AS rule, {_rule_case('action')} AS action FROM hits)
-SELECT page_id, host, path, rule,
-  coalesce(action, CASE WHEN n_strict * {urlrules.STRICT_WEIGHT} + n_soft * {urlrules.SOFT_WEIGHT} >= {urlrules.BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict,
-  n_strict::INT AS n_strict, n_soft::INT AS n_soft
-FROM sums
+), judged AS (
+  SELECT *, {_rule_case('rule')} AS rule, {_rule_case('action')} AS action,
+    list_filter([{_VOCABULARY}], lambda v: list_contains(regexp_extract_all(low, '[a-z0-9]+'), v[1])) AS hits
+  FROM hosts
+), weighed AS (
+  SELECT *, coalesce(list_sum(list_transform(hits, lambda v: v[2])), 0)::INT AS weight, len(list_filter(hits, lambda v: v[2] >= {urlrules.BLOCK_AT})) AS strict FROM judged
+)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN weight >= {urlrules.BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict,
+  strict::INT AS n_strict, (len(hits) - strict)::INT AS n_soft, weight
+FROM weighed
 """
 
 OP6_SQL = """

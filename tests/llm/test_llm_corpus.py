@@ -307,7 +307,7 @@ def test_templates_inside_articles(spark):
 
 
 def test_urls(spark):
-    urls = ["http://A.com/en/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "https://m.www.example.com/en/", "http://x.net/es/1", "http://x.net/esx", "net/es/", None, "http://net/fr/#a", "http://casino.org/a", "http://casinos.org/a", "http://cheap-pills.org", "http://cheap.org/cheap", "x://h?p://y", "http://a.com", ""]
+    urls = ["http://A.com/en/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "https://m.www.example.com/en/", "http://x.net/es/1", "http://x.net/esx", "net/es/", None, "http://net/fr/#a", "http://casino.org/a", "http://casinoss.org/a", "http://cheap-pills.org", "http://cheap.org/cheap", "x://h?p://y", "http://a.com", ""]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x"), (None, "http://b.com/", "y")], "page_id long, url string, host string")
     got = urlrules.judge_urls(df, queries.RULES)
     by = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()}
@@ -320,6 +320,26 @@ def test_urls(spark):
     assert urlrules.judge_urls(df.where("false"), queries.RULES).count() == 0
 
 
+def test_url_vocabulary(spark, tmp_path):
+    """Terms decide urls without a rule: one strict, two telling or three loose ones, each once, between boundaries."""
+    words = urlrules.VOCABULARY
+    assert len(words) > 250 and set(words.values()) == {2, 3, 6} and all(re.fullmatch("[a-z0-9]+", t) for t in words)
+    rng, texts = random.Random(5), ["http://farm.example/" + "x" * 300_000 + "/spam", "http://free-free-free.biz/", "http://a.org/free/deal/sale?x", "HTTP://WIN-BET.ORG", "http://wins.org/bets#pills"]
+    for _ in range(600):
+        texts.append("https://" + "".join(rng.choice([*rng.sample(sorted(words), 3), "-", ".", "/", "a", "7", "\u00e9"]) for _ in range(rng.randint(1, 6))))
+    got = {r.page_id: (r.verdict, r.n_strict, r.n_soft, r.weight) for r in urlrules.judge_urls(spark.createDataFrame(list(enumerate(texts)), "page_id long, url string"), []).collect()}
+    for i, t in enumerate(texts):
+        own = [w for term, w in words.items() if re.search(f"(?<![a-z0-9]){term}(?![a-z0-9])", t.lower())]
+        assert got[i] == ("block" if sum(own) >= 6 else "allow", own.count(6), len(own) - own.count(6), sum(own))
+    assert [got[i][0] for i in range(5)] == ["block", "allow", "block", "block", "block"]
+    path = str(tmp_path / "terms.parquet")
+    spark.createDataFrame([("Acme", 6), ("acme", 2), (None, 6), ("x y", 3), ("z", None)], "term string, weight int").write.parquet(path)
+    own = urlrules.read_vocabulary(spark, path)
+    assert own == {"acme": 6, "x y": 3}
+    assert [r.verdict for r in urlrules.judge_urls(spark.createDataFrame([(1, "http://acme.net"), (2, "http://acmes.net/x y")], "page_id long, url string"), [], own).collect()] == ["block", "allow"]
+    assert [r.weight for r in urlrules.judge_urls(spark.createDataFrame([(1, "http://acme.net")], "page_id long, url string"), [], {}).collect()] == [0]
+
+
 # --- quality ----------------------------------------------------------------------------------------------------------
 
 
