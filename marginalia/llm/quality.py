@@ -184,6 +184,12 @@ def sample_rows(sample: DataFrame, telling: list[int]) -> list[tuple[tuple[np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
+    """The model of at most `rows` rated documents (doc_id, text) by labels (doc_id, quality, toxic).
+
+    A null text is empty; rows without an id, and ratings without an id, quality or toxic, are not used; of several ratings of
+    an id the least grade counts, of several documents the one with the fewest features; other columns are not read. Without
+    rated documents all weights are 0.
+    """
     small_batches(docs.sparkSession)
     rated = rated_sample(docs, labels, rows)
     sample = sample_rows(rated, telling_features(rated))
@@ -194,6 +200,10 @@ def _scores(model: Ordinal, texts: list[str | None], features: Features) -> np.n
     return np.array([float(model.weights[i] @ v) for i, v in map(features.of, texts)])
 
 
+def _probabilities(model: Ordinal, texts: list[str | None], features: Features) -> np.ndarray:
+    return model.tails(_scores(model, texts, features)) if texts else np.zeros((0, len(model.thresholds)))
+
+
 def score(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
     """docs with expected_grade, p_usable (grade 1 or more), p_good (grade 2) and selected; all rows and columns are kept.
 
@@ -208,10 +218,27 @@ def score(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            tails = model.tails(_scores(model, batch.column(at).to_pylist(), features)) if batch.num_rows else np.zeros((0, GRADES - 1))
+            tails = _probabilities(model, batch.column(at).to_pylist(), features)
             columns = [tails.sum(1), tails[:, 0], tails[:, -1], tails[:, -1] >= keep]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, added.values(), strict=True))], [*names, *added])
 
     small_batches(docs.sparkSession)
     fields = [T.StructField(k, T.BooleanType() if k == "selected" else T.DoubleType()) for k in added]
     return own.mapInArrow(run, T.StructType([*own.schema.fields, *fields]))
+
+
+def select(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
+    """The rows of docs whose tail probability of the best grade is `keep` at least, as they are, whatever columns docs has.
+
+    A null text is empty and scored as such; null ids, repeated rows and ties are judged each for itself; an empty table
+    gives an empty result.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            yield batch.filter(pa.array(_probabilities(model, batch.column(at).to_pylist(), features)[:, -1] >= keep))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

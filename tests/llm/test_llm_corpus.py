@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from marginalia.llm import chat, components, htmltext, imatch, packing, quality, queries, simhash, urlrules
+from marginalia.llm import chat, common, components, htmltext, imatch, packing, quality, queries, simhash, urlrules
 from marginalia.llm.common import stash
 
 DOCS = "doc_id long, text string, lang string, bits string, component_id long"
@@ -68,9 +68,10 @@ def classes(prints, distance=3):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 1])
-def test_near_duplicates(spark, hot):
-    texts = near_texts()
+@pytest.mark.parametrize(("hot", "hubs"), [(simhash.HOT, 1000), (1, 3)])
+def test_near_duplicates(spark, hot, hubs, monkeypatch):
+    monkeypatch.setattr(common, "HUBS", hubs)
+    texts = [*near_texts(), "very " * 100_000, "very long " * 60_000]
     prints = [brute_simhash(t) for t in texts]
     got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts), hot=hot).collect()}
     assert [got[i].fingerprint for i in range(len(texts))] == [f"{p:016x}" for p in prints]
@@ -100,13 +101,14 @@ def test_links_join_what_near_pairs_join(spark, hot):
     assert sorted(map(sorted, parts.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
-def test_wide_links(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 1])
+def test_wide_links(spark, hot):
     """All pairs of up to 7 bits are joined, no pair of over 10 is linked."""
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
     prints = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 7))) for b in base for _ in range(4)} | set(base))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    found = simhash.wide_links(spark.createDataFrame([(p,) for p in signed], "bits long")).collect()
+    found = simhash.wide_links(spark.createDataFrame([(p,) for p in signed], "bits long"), hot=hot).collect()
     assert all((((r.a ^ r.b) & ((1 << 64) - 1)).bit_count()) <= 10 for r in found)
     part = {r.node: r.component for r in components.components(spark.createDataFrame([tuple(r) for r in found], "a long, b long")).collect()}
     for i, p in enumerate(prints):
@@ -130,65 +132,92 @@ def test_long_buckets_give_a_forest():
     assert len(a) == len(bits) - 2 and all((int(x) ^ int(y)).bit_count() <= 3 for x, y in zip(a, b, strict=True))
 
 
-def test_representatives(spark):
-    texts = near_texts()
-    df = docs(spark, texts)
-    want = sorted(set(classes([brute_simhash(t, 5) for t in texts], 10)))
-    assert sorted(r.doc_id for r in simhash.keep_representatives(df).collect()) == want
-    odd = df.unionByName(df.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "quite another text of its own here", "a", "b", 1)] * 2 + [(None, texts[0], "a", "b", 1)], DOCS))
-    got = simhash.keep_representatives(odd)
-    assert got.columns == df.columns
-    assert sorted(r.doc_id for r in got.where("doc_id is not null").collect()) == want and got.where("doc_id is null").count() == 1
-    assert simhash.keep_representatives(df.where("false")).count() == 0 and simhash.near_duplicates(df.where("false")).count() == 0
-
-
 def shingle_set(text, size=5):
     words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def test_verified_representatives(spark):
-    """Components by brute-force Jaccard: pairs under 0.8 that fingerprints link stay, pairs at 0.8 that they miss go."""
+def alike_classes(texts):
+    """Least index reachable by pairs with a Jaccard similarity of 0.8."""
+    sets = [shingle_set(t) for t in texts]
+    parent = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for _ in texts:
+        before = list(parent)
+        for i, j in links:
+            parent[i] = parent[j] = min(parent[i], parent[j])
+        if parent == before:
+            return parent
+    return parent
+
+
+def texts_about_the_threshold():
     rng = random.Random(6)
     texts = near_texts(5, 14, 5)
     for n in (50, 100, 300):  # one stretch changed, to a similarity of 0.8 and a little under and over
         for cut in range(n // 14, n // 7):
             base = words_of(rng, n)
             texts += [" ".join(base), " ".join(base[:cut] + base[2 * cut :])]
-    sets = [shingle_set(t) for t in texts]
-    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)]
-    parent = list(range(len(texts)))
-    for _ in texts:
-        for i, j in links:
-            parent[i] = parent[j] = min(parent[i], parent[j])
-    df = docs(spark, texts)
-    got = simhash.keep_representatives(df, similarity=0.8)
+    base = words_of(rng, 120)  # a chain: neighbours are alike, its ends are not, and all share most bands
+    for k in range(30):
+        base = base[:k * 4] + words_of(rng, 2) + base[k * 4 + 2 :]
+        texts.append(" ".join(base))
+    return texts
+
+
+CLASHING = "doc_id long, text string, mark string, _of string, _hash string, n string, keys string, bits string"
+
+
+@pytest.mark.parametrize(("size", "pivots"), [(512, 2), (2, 2), (3, 0)])
+def test_representatives(spark, size, pivots):
+    """Components by brute-force Jaccard, buckets that a task holds and larger ones alike: pairs under 0.8 that fingerprints link
+    stay, pairs at 0.8 that they miss go."""
+    texts = texts_about_the_threshold()
+    parent = alike_classes(texts)
+    df = spark.createDataFrame([(i, t, "a", "b", "c", "d", "e", "f") for i, t in enumerate(texts)], CLASHING)
+    keep = lambda x: simhash.keep_representatives(x, size=size, pivots=pivots)
+    odd = df.unionByName(df.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "quite another text of its own here", *"abcdef")] * 2 + [(None, texts[0], *"abcdef")], CLASHING))
+    got = keep(odd)
     assert got.columns == df.columns
-    assert sorted(r.doc_id for r in got.collect()) == sorted(set(parent))
-    by_bits = classes([brute_simhash(t, 5) for t in texts], 10)
-    assert sorted(set(by_bits)) != sorted(set(parent))
-    odd = df.unionByName(df.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "quite another text of its own here", "a", "b", 1)] * 2 + [(None, texts[0], "a", "b", 1)], DOCS))
-    got = simhash.keep_representatives(odd, similarity=0.8).collect()
+    got = got.collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(set(parent)) and len(got) == len(set(parent)) + 1
-    assert simhash.keep_representatives(df.where("false"), similarity=0.8).count() == 0
+    assert {tuple(r)[2:] for r in got} == {tuple("abcdef")}
+    if size == 512:
+        assert sorted(set(classes([brute_simhash(t, 5) for t in texts], 10))) != sorted(set(parent))
+        assert keep(df.where("false")).count() == 0 and simhash.near_duplicates(df.where("false")).count() == 0
 
 
 def test_ids_on_rows_of_different_texts(spark):
     """A clean text is not lost by its id, nor does a near-duplicate stay by it."""
     a, b, c = (" ".join(words_of(random.Random(i), 60)) for i in (1, 2, 3))
     rows = [(1, a, "", "", 0), (1, b, "", "", 0), (2, b, "", "", 0), (3, c, "", "", 0), (4, a, "", "", 0), (4, "alone " + c[::-1], "", "", 0)]
-    for own in ({"similarity": 0.8}, {}):
-        got = simhash.keep_representatives(spark.createDataFrame(rows, DOCS), **own).collect()
-        assert sorted((r.doc_id, r.text) for r in got) == sorted((r[0], r[1]) for r in (rows[0], rows[1], rows[3], rows[5]))
+    got = simhash.keep_representatives(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((r[0], r[1]) for r in (rows[0], rows[1], rows[3], rows[5]))
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("hubs", [1000, 2])
+def test_components_of_paths_and_stars(spark, hubs, monkeypatch):
+    monkeypatch.setattr(common, "HUBS", hubs)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(200, 200), (300, 299), (299, 300)]
     random.Random(1).shuffle(edges)
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 180)} | {299: 299, 300: 299}
     assert got == want
+    assert components.components(spark.createDataFrame([(None, 1), (1, None)], "a long, b long")).count() == 0
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    """spark.checkpoint.dir is where tables go; without it a cluster is an error."""
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    assert common.scratch_dir(Session(spark_checkpoint_dir="hdfs://x/y", spark_master="yarn")) == "hdfs://x/y"
+    assert common.scratch_dir(Session(spark_master="local[3]")) == common.scratch_dir(Session(spark_master="local"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            common.scratch_dir(Session(spark_master=master))
 
 
 # --- chat -------------------------------------------------------------------------------------------------------------
@@ -366,6 +395,93 @@ def test_quality_on_held_out_rows(spark):
     assert right >= 0.95 * len(held) and all(0 <= r.p_good <= r.p_usable <= 1 and r.selected == (r.p_good >= 0.5) for r in got)
     nothing = quality.fit(df, labels.where("false"))
     assert quality.score(df.where("false"), nothing).count() == 0 and quality.score(df, nothing).count() == 1200
+    clash = odd.selectExpr("*", "doc_id as p_good", "'own' as expected_grade")
+    kept = quality.select(clash, model)
+    assert kept.columns == clash.columns
+    assert Counter((r.doc_id, r.text, r.selected, r.p_good, r.expected_grade) for r in kept.collect()) == Counter((r.doc_id, r.text, "x", r.doc_id, "own") for r in got if r.selected)
+    assert quality.select(clash.where("false"), model).count() == 0
+
+
+def plain_features(text, bits=quality.BITS):
+    """As the docstrings tell them, a word at a time."""
+    words, size = (text or "").split(), (1 << bits) - 10
+    n = Counter()
+    for w in words:
+        for x in (w.lower().strip(".,;:!?()\"'"), "^" + w.lower()[:4]):
+            n[xxhash.xxh32_intdigest(x.encode(), 7) % size] += 1
+    return {i: 0.3 * np.log1p(c) for i, c in n.items()}
+
+
+def test_features_by_brute_force():
+    rng = random.Random(3)
+    for text in ("", None, "One two, two! (three)", "\u00e9 " * 3, "x" * 100_000, "long " * 300_000, " ".join(words_of(rng, 300))):
+        i, v = quality.Features().of(text)
+        own = {int(a): b for a, b in zip(i, v, strict=True) if a < (1 << quality.BITS) - 10}
+        want = plain_features(text)
+        assert own.keys() == want.keys() and all(own[k] == pytest.approx(want[k]) for k in want) and len(i) == len(want) + 10
+
+
+def test_ordinal_fit_by_brute_force():
+    """The gradient steps end near the minimum of the likelihood, written out and searched by brute force; tails and expected grade
+    are the logistic function's."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    grades = np.digitize(x @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=400), [-0.5, 1.0])
+    count = np.bincount(grades, minlength=3)
+    weight = (400 / count / 3)[grades] ** 0.5
+
+    def loss(w, t):
+        p = lambda k: 1 / (1 + np.exp(-(([-np.inf, *t, np.inf][k + 1]) - x @ w)))  # noqa: E731  P(grade <= k)
+        likely = np.choose(grades, [p(0), p(1) - p(0), 1 - p(1)])
+        return -(weight * np.log(np.maximum(likely, 1e-12))).mean() + quality._DECAY / 2 * (w @ w)
+
+    model = quality.fit_ordinal([(np.arange(3), r) for r in x], grades, 3)
+    assert model.thresholds[0] < model.thresholds[1]
+    best, w, t = loss(model.weights, model.thresholds), model.weights.copy(), model.thresholds.copy()
+    for step in (0.3, 0.1, 0.03, 0.01):  # coordinate search
+        for _ in range(40):
+            for k in range(5):
+                for sign in (-step, step):
+                    w2, t2 = w.copy(), t.copy()
+                    (w2 if k < 3 else t2)[k % 3] += sign
+                    if t2[0] < t2[1] and loss(w2, t2) < best:
+                        best, w, t = loss(w2, t2), w2, t2
+    assert loss(model.weights, model.thresholds) - best < 2e-3
+    scores = x @ model.weights
+    tails = model.tails(scores)
+    for s, row in zip(scores[:50], tails, strict=False):
+        assert row == pytest.approx([1 / (1 + np.exp(c - s)) for c in model.thresholds])
+    constant = quality.fit_ordinal([(np.arange(2), np.ones(2))] * 5, np.full(5, 2), 2)
+    assert np.isfinite(constant.weights).all() and quality.fit_ordinal([], np.zeros(0, int), 4).weights.tolist() == [0] * 4
+
+
+def test_scores_by_brute_force(spark):
+    """Scores, tails and selection from the fitted weights, a row at a time; ratings by brute force; the sample is the least hashed ids."""
+    rows = rated(7, 300)
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows] + [(rows[0][0], 0, 0)], "doc_id long, quality int, toxic int")
+    want = {r[0]: r[4] for r in rows} | {rows[0][0]: 0}
+    assert {r.doc_id: r.grade for r in quality.grades_of(labels).collect()} == want
+    sample = quality.rated_sample(df, labels, 100)
+    order = spark.createDataFrame([(i,) for i in want], "i long").selectExpr("i", "xxhash64(i) as h").orderBy("h", "i").limit(100)
+    assert {r.doc_id for r in sample.collect()} == {r.i for r in order.collect()}
+    held, sides = sample.collect(), (lambda g: g >= 1, lambda g: g >= 2, lambda g: g == 1)
+    seen, telling = Counter(f for r in held for f in r.i), []
+    for f, n in seen.items():
+        contrast = 0
+        for side in sides:
+            k, n1 = sum(f in r.i for r in held if side(r.grade)), sum(side(r.grade) for r in held)
+            spread = (max(n / 100 * (1 - n / 100), 1e-12) * (1 / n1 + 1 / (100 - n1))) ** 0.5
+            contrast = max(contrast, abs(k / n1 - (n - k) / (100 - n1)) / spread)
+        if n >= 5 and contrast >= 2 or f >= (1 << quality.BITS) - 10:
+            telling.append(f)
+    assert quality.telling_features(sample, min_docs=5, min_contrast=2.0) == sorted(telling) and len(telling) > 11
+    model = quality.fit(df, labels)
+    for r in quality.score(df, model).collect():
+        shape = quality.Features()
+        at = sum(model.weights[i] * v for i, v in plain_features(r.text).items()) + model.weights[-10:] @ shape.shape(r.text, r.text.split())
+        tails = [1 / (1 + np.exp(t - at)) for t in model.thresholds]
+        assert (r.p_usable, r.p_good, r.expected_grade, r.selected) == (pytest.approx(tails[0]), pytest.approx(tails[1]), pytest.approx(sum(tails)), tails[1] >= 0.5)
 
 
 # --- the pipeline -----------------------------------------------------------------------------------------------------
@@ -393,7 +509,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     grade = {r[0]: r[4] for r in rated(2, 400)}
     assert np.mean([(i in texts) == (g == 2) for i, g in grade.items()]) > 0.97
     ids = sorted(texts)
-    want = {ids[k] for k in classes([brute_simhash(texts[i], 5) for i in ids], 10)}
+    want = {ids[k] for k in alike_classes([texts[i] for i in ids])}
     one = stash(P.drop_near_duplicates(spark, good, d), "t")
     assert {r.doc_id for r in one.collect()} == want and one.columns == documents.columns
     clean = stash(P.hide_personal_data(spark, one, d), "t")
@@ -407,6 +523,30 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     assert sum(r.length for r in packed) == sum(len(ids_of.encode(r.text or "")) // 4 + 1 for r in clean.collect())
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Clashing column names are kept as they are; a table without rows, and one without ratings, go through."""
+    import corpus_pipeline as P
+
+    odd = "selected string, p_good double, mark string, _of string, _hash string, _terms string, n string, keys string, length string, rank string, part string"
+    text = lambda k: " ".join(words_of(random.Random(k), 30))
+    rows = [(i, t, "en", "s", None, *(["own"] + [0.5] + ["own"] * 9)) for i, t in ((1, text(1)), (2, text(1)), (3, None), (4, ""), (None, text(2)), (5, text(3)), (5, text(3)), (6, "w " * 50_000))]
+    spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {odd}").write.parquet(str(tmp_path / "a/documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "a/labels.parquet"))
+    d = str(tmp_path / "a")
+    docs_ = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in P.STAGES[1:3]:
+        made = stash(stage(spark, docs_, d), "t")
+        assert made.columns == docs_.columns and {tuple(r)[5:] for r in made.collect()} == {tuple(rows[0][5:])}
+        assert stage(spark, docs_.where("false"), d).count() == 0
+        if name == "near_duplicates":
+            assert Counter((r.doc_id, r.text) for r in made.collect()) == Counter([(1, text(1)), (3, None), (None, text(2)), (5, text(3)), (6, "w " * 50_000)])
+    assert stash(P.keep_good(spark, docs_, d), "t").columns == docs_.columns
+    docs_.where("false").write.parquet(str(tmp_path / "b/documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "b/labels.parquet"))
+    assert P.run(spark, str(tmp_path / "b")).count() == 0
+    assert P.run(spark, d).count() >= 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as E
 
