@@ -4,8 +4,10 @@ Entities are e-mail addresses, IP addresses, card numbers and phone numbers, and
 digits of numbers, kinds. So a term counts where single mentions do not recur. A term is a word of a text that has an entity's
 mention. From counts over the whole corpus, in rows: how strongly term t reveals entity e is their pointwise mutual information
 over the entity's information content, log(N c(t,e) / (c(t) c(e))) / log(N / c(e)), which is 1 if t never stands without e.
-Terms at or over DISCLOSURE, seen with the entity in MIN_ROWS rows at least, become spans as well, wherever they stand in any
-text; for what mentions share, chance has to be ruled out too (CHANCE_BITS). In sanitised texts entities are generalised to their kind and such terms are removed.
+Terms at or over DISCLOSURE become spans as well, wherever they stand in any text, if chance is ruled out: c(t,e) rows that
+share what they have by chance are as unlikely as 2^-(c(t,e) * mutual information), and that must be CHANCE_BITS below one in N
+rows. So no number of rows is set; one row can never be enough. In sanitised texts entities are generalised to their kind and
+such terms are removed.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import small_batches, stash
+from marginalia.llm.common import fresh, join_hubs, small_batches, stash
 
 DISCLOSURE = 0.9
-MIN_ROWS = 3
-#: Bits of pointwise mutual information over all rows of a term and what mentions share, at least.
-CHANCE_BITS = 16
+#: Bits of evidence of a term and an entity beyond log2 of the number of rows.
+CHANCE_BITS = 10
+#: Terms that may go to all tasks; beyond, rows are joined with their terms.
+SENT_TERMS = 200_000
 #: First digits of a card number and of a phone number that stand for those that share them.
 CARD_DIGITS, PHONE_DIGITS = 4, 4
 #: Different terms that a task counts before it hands the counts on.
@@ -167,44 +170,78 @@ def _seen(docs: DataFrame) -> DataFrame:
     return stash(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_see, _SEEN_DDL), "seen")
 
 
-def disclosing_terms(seen: DataFrame, disclosure: float = DISCLOSURE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """entity, term, strength of the terms that disclose an entity."""
-    total = float(max(seen.where(F.col("what") == _ROWS).agg(F.sum("n")).first()[0] or 0, 1))
+def _disclosing(seen: DataFrame, disclosure: float, chance_bits: float) -> DataFrame:
+    """entity, term, strength, n_term (the term's rows)."""
+    n = seen.groupBy("what").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
+    n = {r["what"]: r for r in n}
+    total, n_mentions = float(max(n[_ROWS]["n"] if _ROWS in n else 0, 1)), n[_ENTITY]["k"] if _ENTITY in n else 0
     mentions = seen.where(F.col("what") == _ENTITY).select("row", "entity")
-    found = stash(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= min_rows) & (F.col("n_entity") < total)), "entities")
-    counts = seen.where(F.col("what") == _TERM).groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= min_rows)
+    # a pair in one row has at most log2(N) bits, so entities of one row and pairs in one row need not be carried
+    found = stash(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") > 1) & (F.col("n_entity") < total)), "entities")
+    own = join_hubs(mentions, found.withColumn("k", F.col("n_entity")), "entity", "k", n_mentions)
     beside = seen.where(F.col("what") == _WITH).select("row", "term")
-    pairs = mentions.join(found.select("entity"), "entity").join(beside, "row").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_rows)
+    pairs = stash(own.join(beside, "row").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("both")).where("both > 1"), "pairs")
+    counts = seen.where(F.col("what") == _TERM).groupBy("term").agg(F.sum("n").alias("n_term"))
+    counts = counts.join(pairs.groupBy("term").agg(F.count("*").alias("k")), "term")
     information = F.log2(F.lit(total) / F.col("n_entity"))
     reveals = F.log2(F.lit(total) * F.col("both") / (F.col("n_term") * F.col("n_entity").cast("double")))
-    no_chance = ~F.col("entity").contains("*") | (F.col("both") * reveals >= CHANCE_BITS)
-    joined = pairs.join(counts, "term").join(found, "entity").where(no_chance)
-    return joined.select("entity", "term", (reveals / information).alias("strength")).where(F.col("strength") >= disclosure)
+    joined = join_hubs(pairs, counts, "term", "k", pairs.count())
+    joined = joined.where(F.col("both") * reveals >= F.lit(chance_bits) + F.log2(F.lit(total)))
+    return joined.select("entity", "term", (reveals / information).alias("strength"), "n_term").where(F.col("strength") >= disclosure)
 
 
-def _terms(docs: DataFrame) -> frozenset[str]:
-    """The terms that disclose any entity. They come to the driver and go to all tasks: each needs MIN_ROWS rows, most of them
-    with one entity, so they are a small share of the vocabulary."""
-    return frozenset(r["term"] for r in disclosing_terms(_seen(docs)).select("term").distinct().collect())
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, chance_bits: float = CHANCE_BITS) -> DataFrame:
+    """entity, term, strength of the terms that disclose an entity in documents (text).
+
+    A null text is empty; repeated rows count as often as they stand there; other columns are not read; an empty table has
+    no terms.
+    """
+    return _disclosing(_seen(docs), disclosure, chance_bits).drop("n_term")
+
+
+def _with_terms(docs: DataFrame, sent: int) -> tuple[DataFrame, frozenset[str] | None, str | None]:
+    """docs and the disclosing terms to look for: all of them if they are `sent` at most, else none and the name of a column that
+    docs has got, with each row's own."""
+    seen = _seen(docs)
+    terms = stash(_disclosing(seen, DISCLOSURE, CHANCE_BITS).groupBy("term").agg(F.max("n_term").alias("n_term")), "terms")
+    if terms.count() <= sent:
+        return docs, frozenset(r["term"] for r in terms.select("term").collect()), None
+    row, own = fresh("_row", docs), fresh("_terms", docs)
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = sorted(set(_WORD.findall((text.as_py() or "").lower())))
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(found), pa.int64()), pa.array(found, pa.string())], ("row", "term"))
+
+    every = numbered.select(F.col(row), F.col("text").cast("string")).mapInArrow(words, "row long, term string")
+    total = int(seen.where(F.col("what") == _TERM).agg(F.sum("n")).first()[0])
+    found = join_hubs(every, terms, "term", "n_term", total).groupBy(F.col("row").alias(row)).agg(F.collect_list("term").alias(own))
+    return numbered.join(found, row, "left").drop(row), None, own
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def _spans(text: str, known: frozenset[str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    base = base_spans(text)
+    return base, [("term", s, e) for t, s, e in free_words(text, base) if t in known] if known else []
+
+
+def find_personal_data(docs: DataFrame, sent: int = SENT_TERMS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term: a row for each row of documents.
 
     spans lists all spans as kind:start:end (code points, end exclusive), the kinds as listed, then the disclosing terms. A
     null text is empty; null ids and repeated rows pass through (repeated rows count as often as they stand there); other
     columns are not carried; an empty table gives an empty result.
     """
-    known = _terms(docs)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own, known, column = _with_terms(own, sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, shown, spans, n_term = [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                base = base_spans(text)
+            for i, text in enumerate(batch.column(1)):
+                base, terms = _spans(text.as_py() or "", known if column is None else frozenset(batch.column(2)[i].as_py() or ()))
                 n = Counter(k for k, _, _ in base)
-                terms = [("term", s, e) for t, s, e in free_words(text, base) if t in known] if known else []
                 counts.append([n[k] for k in KINDS])
                 shown.append(show(base))
                 spans.append(show([*base, *terms]))
@@ -212,38 +249,38 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             columns = [*(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))), pa.array(shown, pa.string()), pa.array(spans, pa.string()), pa.array(n_term, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "n_term"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = own.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_term long")
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_term")
 
 
 def clean_text(text: str, known: frozenset[str]) -> str:
-    base = base_spans(text)
-    terms = [("", s, e) for t, s, e in free_words(text, base) if t in known] if known else []
+    base, terms = _spans(text, known)
     out, at = [], 0
     for kind, start, end in merge([*base, *terms]):
-        out += [text[at:start], f"[{kind.upper()}]" if kind else ""]
+        out += [text[at:start], "" if kind == "term" else f"[{kind.upper()}]"]
         at = end
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, sent: int = SENT_TERMS) -> DataFrame:
     """docs with entities generalised to their kind and disclosing terms removed; n_chars, if there, counts the new text.
 
-    All columns and rows are kept; a null text stays null.
+    All columns, whatever their names, and all rows are kept; a null text stays null and an empty one empty; repeated rows and
+    ties are treated alike; an empty table gives an empty result.
     """
-    known = _terms(docs)
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
     at = names.index("text")
+    rows, known, column = _with_terms(docs, sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [t if t is None else clean_text(t, known) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
+            own = batch.column(len(names)).to_pylist() if column else ()
+            new = [t if t is None else clean_text(t, known if column is None else frozenset(own[i] or ())) for i, t in enumerate(batch.column(at).to_pylist())]
+            columns = list(batch.columns)[: len(names)]
             columns[at] = pa.array(new, pa.string())
             if "n_chars" in names:
                 i = names.index("n_chars")
                 columns[i] = pa.array([None if t is None else len(t) for t in new], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from marginalia.llm import bpe, media, packing, pii
+from marginalia.llm import bpe, common, media, packing, pii
 from marginalia.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, length long, n_chars long"
@@ -191,9 +191,10 @@ def leaking():
     return [*texts, *(f"common words here without number {i}" for i in range(40)), None, "", "card 4111 1111 1111 1111 é +1 (555) 123-4567 or 10.0.0.255"]
 
 
-def test_disclosing_terms(spark):
+@pytest.mark.parametrize("sent", [pii.SENT_TERMS, 0])
+def test_disclosing_terms(spark, sent):
     texts = leaking()
-    got = {r.doc_id: r for r in pii.find_personal_data(docs(spark, texts)).collect() if r.doc_id is not None}
+    got = {r.doc_id: r for r in pii.find_personal_data(docs(spark, texts), sent).collect() if r.doc_id is not None}
     for i, text in enumerate(texts):
         base = brute_spans(text or "")
         n = Counter(k for k, _, _ in base)
@@ -208,10 +209,13 @@ def test_disclosing_terms(spark):
     assert pii.find_personal_data(docs(spark, texts).where("false")).count() == 0
 
 
-def test_sanitised_texts(spark):
-    df = docs(spark, leaking())
-    out = pii.sanitise(df)
+@pytest.mark.parametrize("sent", [pii.SENT_TERMS, 0])
+def test_sanitised_texts(spark, sent):
+    clash = ("_row", "_terms", "row", "term", "_of", "_mark", "entity", "n")
+    df = docs(spark, leaking()).selectExpr("*", *(f"'own {c}' as {c}" for c in clash))
+    out = pii.sanitise(df, sent)
     assert out.columns == df.columns and out.count() == df.count()
+    assert {tuple(r) for r in out.select(*clash).collect()} == {tuple(f"own {c}" for c in clash)}
     got = {r.doc_id: r for r in out.collect()}
     assert "bob@" not in got[0].text and "zorgblatt" not in got[0].text and "[EMAIL]" in got[0].text and got[0].n_chars == len(got[0].text)
     assert got[6].text == leaking()[6] and got[45].text is None
@@ -238,21 +242,47 @@ def test_terms_of_what_mentions_share(spark):
     texts += [f"common words here call +1 (555) 123-45{i:02} callname" for i in range(4)]
     texts += [f"common words here {w} host 10.0.{i}.{w} " for i in range(4) for w in (1, 2)]
     texts += [f"common words here and mail q@{'x' * i}.org" for i in range(1, 31)] + [f"common words here {'rare' if i < 3 else ''}" for i in range(60)]
-    found = pii.disclosing_terms(pii._seen(docs(spark, texts))).collect()
+    found = pii.disclosing_terms(docs(spark, texts)).collect()
     by = {(r.entity, r.term) for r in found}
     assert {("email:*@zorg.example.com", "staffname"), ("phone:1555*", "callname"), ("phone:*", "callname"), ("ip:10.0.*", "host"), ("ip:*", "host")} <= by
     assert not {t for _, t in by} & {"common", "words", "here", "rare"}
     half = [f"mail r@{'y' * (i + 1)}.net {'chance' if i < 3 else ''}" for i in range(40)] + ["nothing here"] * 40
-    assert "chance" not in {r.term for r in pii.disclosing_terms(pii._seen(docs(spark, half))).collect()}
-
-
-def test_strength_by_brute_force(spark):
-    texts = leaking()[:45]
-    seen = pii._seen(docs(spark, texts).where("doc_id is not null and lang is not null").dropDuplicates(["doc_id"]))
-    got = {(r.entity, r.term): r.strength for r in pii.disclosing_terms(seen, 0.0, 1).collect()}
-    n = len(texts)
-    word = lambda t: sum(t in x for x in texts)
-    for term, entity in (("zorgblatt", "bob@mail.example.com"), ("common", "bob@mail.example.com")):
-        both = sum(term in x and entity in x for x in texts)
-        want = np.log(n * both / (word(term) * word(entity))) / np.log(n / word(entity))
-        assert got.get((entity, term), 0.0) == pytest.approx(want, abs=1e-9)
+    assert "chance" not in {r.term for r in pii.disclosing_terms(docs(spark, half)).collect()}
+
+
+@pytest.mark.parametrize(("disclosure", "bits", "hubs"), [(0.9, 10, 1000), (0.5, 0, 2), (-9.0, -99, 1000)])
+def test_terms_by_brute_force(spark, monkeypatch, disclosure, bits, hubs):
+    """All pairs of entities and terms of a corpus, counted a text at a time."""
+    monkeypatch.setattr(common, "HUBS", hubs)
+    rng = random.Random(12)
+    people = [(f"p{k}@{rng.choice(('a.org', 'b.example.com'))}", f"name{chr(97 + k)}x", f"+1 (555) 12{k % 4}-{4000 + k}") for k in range(12)]
+    texts = []
+    for k in range(300):
+        words = [rng.choice(("common", "words", "here", "without", "seldom" if rng.random() < 0.1 else "often")) for _ in range(8)]
+        mail, name, phone = people[min(11, int(rng.expovariate(0.4)))]
+        for extra, share in ((mail, 0.25), (name, 0.2), (phone, 0.05), (f"10.1.{k % 3}.7", 0.04)):
+            if rng.random() < share:
+                words.append(extra)
+                if extra == mail and rng.random() < 0.8:
+                    words.append(name.upper())
+        texts.append(" ".join(words))
+    texts += [None, "", texts[0], texts[0]]
+    rows = []
+    for t in texts:
+        base, found = brute_spans(t or ""), set()
+        for kind, a, e in base:
+            own = t[a:e].lower()
+            digits = re.sub("[^0-9]", "", own)
+            share = {"email": "*@" + own.split("@")[-1], "ip": ".".join(own.split(".")[:2]) + ".*", "card": digits[:4] + "*", "phone": digits[:4] + "*"}[kind]
+            found |= {own, f"{kind}:{share}", f"{kind}:*"}
+        blank = "".join(" " if any(a <= i < e for _, a, e in base) else c for i, c in enumerate(t or ""))
+        rows.append((found, {w.lower() for w in re.findall(r"[^\W\d_]{4,}", blank)}, {w.lower() for w in re.findall(r"[^\W\d_]{4,}", t or "")}))
+    n, c_e, c_t, both = len(rows), Counter(e for f, _, _ in rows for e in f), Counter(w for _, _, every in rows for w in every), Counter((e, w) for f, free, _ in rows for e in f for w in free)
+    want = {}
+    for (e, w), k in both.items():
+        if k > 1:
+            mutual, information = np.log2(n * k / (c_e[e] * c_t[w])), np.log2(n / c_e[e])
+            if mutual / information >= disclosure and k * mutual >= bits + np.log2(n):
+                want[e, w] = mutual / information
+    got = {(r.entity, r.term): r.strength for r in pii.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string"), disclosure, bits).collect()}
+    assert got.keys() == want.keys() and len(want) > 1 and all(got[k] == pytest.approx(want[k]) for k in want)
