@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import fresh, join_hubs, small_batches, stash
 
-DISCLOSURE = 0.9
+#: A term leaves at most a hundredth of the entity's information open.
+DISCLOSURE = 0.99
 #: Bits of evidence of a term and an entity beyond log2 of the number of rows.
 CHANCE_BITS = 10
 #: Terms that may go to all tasks; beyond, rows are joined with their terms.

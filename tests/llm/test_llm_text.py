@@ -226,14 +226,14 @@ def test_sanitised_texts(spark, sent):
 def test_terms_anywhere_in_any_text(spark):
     """A term far from the mention counts, and goes wherever it stands, in texts without an entity too."""
     far = "common words here " * 40
-    texts = [f"zorgblatt {far} mail bob@mail.example.com {far} zorgblatt" for _ in range(20)]
-    texts += [f"{far} without number" for _ in range(200)] + ["common words of Zorgblatt here"]
+    texts = [f"zorgblatt {far} mail bob@mail.example.com {far} zorgblatt" for _ in range(60)]
+    texts += [f"{far} without number" for _ in range(500)] + ["common words of Zorgblatt here"]
     got = {r.doc_id: r for r in pii.find_personal_data(docs(spark, texts)).collect() if r.doc_id is not None}
-    for i in (*range(1, 20), 220):
+    for i in (*range(1, 60), 560):
         spans = [x.split(":") for x in got[i].spans.split(",")]
         assert [int(s) for k, s, e in spans if texts[i][int(s) : int(e)].lower() == "zorgblatt"] == [m.start() for m in re.finditer("zorgblatt", texts[i], re.I)]
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect() if r.doc_id is not None}
-    assert clean[220] == "common words of  here" and "zorgblatt" not in clean[3] and clean[100] == texts[100]
+    assert clean[560] == "common words of  here" and "zorgblatt" not in clean[3] and clean[100] == texts[100]
 
 
 def test_terms_of_what_mentions_share(spark):
