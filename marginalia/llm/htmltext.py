@@ -1,17 +1,21 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page is a row of tokens: tags with the path of the elements they stand in, and text segments with their path. Over all
-pages of a host, tokens with the same occurrence vector (how often in which page) form a class; vectors are compared by two
-64-bit hashes that are sums over pages, so they are aggregated without gathering a host's pages. A class is valid if it is
-large and frequent: CLASS_SIZE tokens in CLASS_PAGES pages at least. The class that occurs once in every page is the root of the
-host's template; classes in every page that occur several times, and optional ones in NESTED_SHARE of the pages at least, nest
-in it. The gaps between the template's tokens are its slots: what a page has there is its own.
+pages of a host, tokens with the same occurrence vector (how often in which page) form a class; vectors are compared by sums
+over pages of two 32-bit hashes, so they are aggregated without gathering a host's pages, and repeated pages add up. A class is
+valid if it is large and frequent: CLASS_SIZE tokens in CLASS_PAGES pages at least. The class that occurs once in every page is
+the root of the host's template; classes in every page that occur several times, and optional ones in NESTED_SHARE of the pages
+at least, nest in it. A class's tokens are ordered by where they stand first, on average over the host's pages.
+
+A page is parsed against its host's template: an occurrence of a class takes the class's tokens in their order, occurrences of
+other classes lie wholly inside, and one that does not come to its end is none. The tokens of whole occurrences are the
+template's in this page; the gaps between them are its slots, and what a page has there is its own.
 
 A slot's text is taken if no element that holds it, in its path, is a page's furniture (navigation, header, footer, sidebar,
 notice, advert, form, comments, ...). Where a page has an article or main element, only slots inside count, and blocks all of
-whose text segments belong to the template are furniture, unless these are over half of the text (copies of one article on many
-of a host's pages). Elsewhere, text segments that belong to the template are furniture too, unless nothing would be left. Hosts
-with too few pages have no template and go by paths alone.
+whose text segments are the template's are furniture, unless these are over half of the text (copies of one article on many
+of a host's pages). Elsewhere, the template's text segments are furniture too, unless nothing would be left. Hosts with fewer
+than CLASS_PAGES pages have no template and go by paths alone.
 """
 
 from __future__ import annotations
@@ -33,23 +37,42 @@ COUNTED = 100_000
 
 # fixed values: elements by what they mean
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-_FURNITURE = frozenset("nav header footer aside form button dialog menu script style noscript template iframe svg math object select textarea title head".split())
+_RAW = frozenset("script style textarea title noscript template iframe select".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img "
+    "math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace mstyle semantics svg g tspan".split()
+)
+_FURNITURE = frozenset("nav header footer aside form button dialog menu script style noscript template iframe select textarea title head".split())
 _MAIN = frozenset(("article", "main"))
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"sidebar|side|rail|widget|related|recommended|share|sharing|social|subscribe|newsletter|signup|login|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
-    r"pagination|pager|toolbar|masthead|footer|copyright|comment|comments|commentlist|reply|replies|respond|disqus)(?:$|[\s_-])",
-    re.I,
+# fixed values: parts of class names and ids that name furniture, and parts that stand beside them without changing that
+_NAMES = frozenset(
+    "ad ads advert advertisement adverts banner sponsor sponsored promo cookie cookies consent gdpr notice alert popup modal overlay sidebar side rail related recommended share sharing "
+    "social subscribe newsletter signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar masthead footer copyright comment comments commentlist reply replies "
+    "respond disqus widget".split()
+)
+_BESIDE = frozenset(
+    "site main page top bottom left right primary secondary global inner outer list item items box block wrap wrapper container section area group row col column bar panel link links button "
+    "buttons btn icon icons count title heading text content body info warning success danger slot unit message post posts article articles stories network media header sticky fixed mobile "
+    "desktop js is has form thread".split()
 )
+_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])|[^\W\d_]+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
+def names_furniture(value: str) -> bool:
+    """Whether one of the names says furniture: all its parts do, or stand beside such (cookie-notice, related-posts), while
+    share-price or side-effects say something else."""
+    for name in value.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if any(p in _NAMES for p in parts) and all(p in _NAMES or p in _BESIDE or len(p) == 1 for p in parts):
+            return True
+    return False
+
+
 class Step(NamedTuple):
     """A token of a page: kind is open, close or text; path stands for the open elements (a hash of their names and classes,
     made from the one above, so that deep pages cost no more)."""
@@ -127,7 +150,7 @@ def walk(page: str) -> Iterator[Step]:
         label = f"{name}.{names['class']}" if names.get("class") else name
         furniture, main = state()
         furniture = furniture or name in _FURNITURE or names.get("role", "").lower() in _ROLES or names.get("aria-hidden", "") == "true"
-        furniture = furniture or any(_FURNITURE_NAMES.search(names[k]) for k in ("class", "id") if names.get(k)) and name not in ("html", "body", "article", "main")
+        furniture = furniture or any(names_furniture(names[k]) for k in ("class", "id") if names.get(k)) and name not in ("html", "body", "article", "main")
         main = main or name in _MAIN or names.get("role", "").lower() == "main"
         yield Step("open", name, path, label, furniture, main, block)
         if name in _VOID or rest.endswith("/"):
@@ -159,8 +182,63 @@ def token_hash(step: Step) -> int | None:
     return None if text is None else xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
+class Template:
+    """A host's classes with their tokens in order."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]):
+        """rows: class, how far from the page's start, token."""
+        self.place: dict[int, tuple[int, int]] = {}
+        self.size: dict[int, int] = {}
+        for cls, _, own in sorted(rows):
+            self.place[own] = cls, self.size.get(cls, 0)
+            self.size[cls] = self.size.get(cls, 0) + 1
+
+    def __bool__(self) -> bool:
+        return bool(self.place)
+
+    def parse(self, tokens: list[int | None]) -> list[bool]:
+        """Which of a page's tokens are the template's: those of whole occurrences, in order and nested."""
+        known = [False] * len(tokens)
+        stack: list[tuple[int, list[int]]] = []  # class, places in the page
+        at: dict[int, list[int]] = {}  # class -> where it stands in the stack
+        last: list[int] = []  # of each occurrence the last place taken
+        for i, own in enumerate(tokens):
+            if own not in self.place:
+                continue
+            cls, place = self.place[own]
+            if place == 0:
+                at.setdefault(cls, []).append(len(stack))
+                stack.append((cls, [i]))
+                last.append(0)
+            elif at.get(cls) and last[at[cls][-1]] < place:
+                depth = at[cls][-1]
+                while len(stack) > depth + 1:  # what has begun inside has not come to its end
+                    at[stack.pop()[0]].pop()
+                    last.pop()
+                stack[-1][1].append(i)
+                last[-1] = place
+            else:
+                continue
+            if place == self.size[cls] - 1:
+                for k in stack.pop()[1]:
+                    known[k] = True
+                at[cls].pop()
+                last.pop()
+        return known
+
+
+NO_TEMPLATE = Template([])
+
+
+def extract(page: str | None, template: Template = NO_TEMPLATE) -> str:
     """The main text: blocks in page order, joined by an empty line."""
+    steps = list(walk(page or ""))
+    known = template.parse([token_hash(s) for s in steps]) if template else [False] * len(steps)
+    blocks = _blocks(steps, known)
+    return "\n\n".join(_blocks(steps, [False] * len(steps)) if not blocks and template else blocks)
+
+
+def _blocks(steps: list[Step], known: list[bool]) -> list[str]:
     piece: list[str] = []
     pages_main, inside, outside = False, [], []
     own = False  # whether a segment of the piece is not the template's
@@ -174,15 +252,12 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
         own = False
 
     target = outside
-    for step in walk(page or ""):
+    for step, is_known in zip(steps, known, strict=True):
         if step.kind == "text":
-            if step.furniture:
-                continue
-            known = bool(template) and token_hash(step) in template
-            if known and not step.main:
+            if step.furniture or is_known and not step.main:
                 continue
             piece.append(step.text)
-            own = own or not known and not step.text.isspace()
+            own = own or not is_known and not step.text.isspace()
         else:
             if step.name == "br":
                 piece.append(" ")
@@ -198,64 +273,70 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
             target = now
     flush(target)
     blocks = inside if pages_main else outside
-    if not blocks and template and not pages_main:
-        return extract(page)
     kept = [text for text, own in blocks if own]
-    if 2 * sum(map(len, kept)) < sum(len(text) for text, _ in blocks):
-        kept = [text for text, _ in blocks]
-    return "\n\n".join(kept)
+    return [text for text, _ in blocks] if 2 * sum(map(len, kept)) < sum(len(text) for text, _ in blocks) else kept
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task's pages: for each host and token its pages, occurrences and the vector's hashes."""
+    """Partial sums of a task's pages: for each host and token its pages, occurrences, where it stands first, and the vector's
+    hashes. A page counts by its content, so pages without an id are told apart."""
     import xxhash
 
     held: dict[tuple[str, int], list[int]] = {}
-    mask = (1 << 64) - 1
+    low = (1 << 32) - 1
 
     def hand_on() -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(held), 20_000):
             own = list(held.items())[lo : lo + 20_000]
             columns = [pa.array([k[0] for k, _ in own], pa.string()), pa.array([k[1] for k, _ in own], pa.int64())]
-            columns += [pa.array([v[i] - (1 << 64 if v[i] >> 63 else 0) for _, v in own], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(columns, ("host", "token", "pages", "times", "v1", "v2"))
+            columns += [pa.array([v[i] for _, v in own], pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays(columns, _COUNTED)
         held.clear()
 
     for batch in batches:
-        for page_id, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            times: dict[int, int] = {0: 1}  # token 0 counts the host's pages
-            for step in walk(page.as_py() or ""):
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            page = page.as_py() or ""
+            seed = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))
+            times: dict[int, list[int]] = {0: [1, 0]}  # token 0 counts the host's pages
+            for i, step in enumerate(walk(page)):
                 h = token_hash(step)
                 if h is not None:
-                    times[h] = times.get(h, 0) + 1
-            for h, n in times.items():
-                vector = xxhash.xxh128_intdigest(f"{page_id}:{n}".encode())
-                own = held.setdefault((host, h), [0, 0, 0, 0])
+                    times.setdefault(h, [0, i])[0] += 1
+            vectors: dict[int, int] = {}
+            for h, (n, first) in times.items():
+                if n not in vectors:
+                    vectors[n] = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed)
+                own = held.setdefault((host, h), [0, 0, 0, 0, 0])
                 own[0] += 1
                 own[1] += n
-                own[2] ^= vector & mask
-                own[3] ^= vector >> 64
+                own[2] += first
+                own[3] += vectors[n] & low
+                own[4] += vectors[n] >> 32
         if len(held) > COUNTED:
             yield from hand_on()
     yield from hand_on()
 
 
+_COUNTED = ("host", "token", "pages", "times", "first", "v1", "v2")
+
+
 def occurrence_classes(pages: DataFrame) -> DataFrame:
-    """host, token, pages, times, class_size: tokens of valid equivalence classes, for pages (page_id, host, html)."""
-    counted = pages.select("page_id", "host", "html").mapInArrow(_count, "host string, token long, pages long, times long, v1 long, v2 long")
-    counts = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.bit_xor("v1").alias("v1"), F.bit_xor("v2").alias("v2"))
-    counts = stash(counts.where(F.col("pages") >= CLASS_PAGES), "tokens")
-    sizes = counts.groupBy("host", "pages", "times", "v1", "v2").agg(F.count("*").alias("class_size")).where(F.col("class_size") >= CLASS_SIZE)
-    return counts.join(sizes, ["host", "pages", "times", "v1", "v2"]).select("host", "token", "pages", "times", "class_size")
+    """host, token, first (where it stands first, summed), pages, cls, class_size: the tokens of valid equivalence classes, for
+    pages (host, html). cls names the class: a hash of its vector."""
+    counted = pages.select("host", "html").mapInArrow(_count, "host string, " + ", ".join(f"{c} long" for c in _COUNTED[1:]))
+    counts = counted.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in _COUNTED[2:]]).where(F.col("pages") >= CLASS_PAGES)
+    counts = stash(counts.select("host", "token", "first", "pages", F.xxhash64("pages", "times", "v1", "v2").alias("cls")), "tokens")
+    sizes = counts.groupBy("host", "cls").agg(F.count("*").alias("class_size")).where(F.col("class_size") >= CLASS_SIZE)
+    return counts.join(sizes, ["host", "cls"]).select("host", "token", "first", "pages", "cls", "class_size")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the tokens of the host's root class and of the classes nested in it, at most mean tokens a page /
-    NESTED_SHARE of them."""
+    """host, template: class, place and token of the host's root class and of the classes nested in it, at most mean tokens a
+    page / NESTED_SHARE of them."""
     classes = stash(occurrence_classes(pages), "classes")
     total = classes.where("token = 0").select("host", F.col("pages").alias("n_pages"))
     nested = classes.join(total, "host").where((F.col("token") != 0) & (F.col("pages") >= NESTED_SHARE * F.col("n_pages")))
-    return nested.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("template"))
+    return nested.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("cls", "first", "token"))).alias("template"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -271,14 +352,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     known = stash(templates(own), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset[int]] = {}
+        sets: dict[str, Template] = {}
         for batch in batches:
             texts = []
             for name, page, template in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 if name not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[name] = frozenset(template.as_py() or ())
+                    sets[name] = Template([(x["cls"], x["first"], x["token"]) for x in template.as_py() or ()])
                 texts.append(extract(page.as_py(), sets[name]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ("page_id", "url", "text", "n_chars"))
 

@@ -335,6 +335,69 @@ def test_templates_inside_articles(spark):
     assert got[40] == "own text\n\nBuy today\n\nOnly now"
 
 
+def test_names_say_furniture_as_a_whole():
+    for name in ("ad", "ad-slot-3", "cookie-notice", "related-posts", "sideBar", "c-comments__list", "social share", "main-nav big"):
+        assert htmltext.names_furniture(name), name
+    for name in ("share-price", "side-effects", "alert-level-history", "headline", "notice-period", "adage", "post-content", ""):
+        assert not htmltext.names_furniture(name), name
+    e = htmltext.extract
+    assert e(page('<article><p class="share-price">12.50</p><details class="side-effects"><p>None.</p></details><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><svg><g><text>Fig</text></g></svg><object>seen</object></article>')) == "12.50\n\nNone.\n\nso x=2 holds\n\nFig\n\nseen"
+
+
+def host_pages(host, rng, n):
+    """Pages with a root class, a list's repeated class, an optional block and static text at changing places."""
+    out = []
+    for k in range(n):
+        items = "".join(f'<li><i class="dot">*</i><a href="#">item {rng.randrange(10**6)}</a></li>' for _ in range(rng.randint(0, 4)))
+        offer = '<div class="offer"><h4>Buy today</h4><p>Only now</p></div>' if rng.random() < 0.5 else ""
+        body = f"<p>own text {host} {k} long enough to stay, with words {rng.randrange(10**9)} of its own</p>"
+        out.append((k, f"http://{host}/p{k}", f'<html><body><h2>Welcome all</h2><ul>{items}</ul><article>{body}{offer if k % 2 else ""}{body.upper()}{offer if not k % 2 else ""}</article><p>Imprint</p></body></html>'))
+    return out
+
+
+def test_classes_by_brute_force(spark):
+    """Tokens of a host with equal occurrence vectors, counted page by page, are a class; repeated rows and rows without an id too."""
+    rng = random.Random(8)
+    rows = host_pages("a.com", rng, 14) + host_pages("b.com", rng, 9)
+    rows += [(None, u, h) for _, u, h in rows[:3]] + rows[:5] + [(90, "http://few.com/", "<p>x")] * 4
+    # tokens of the first five pages, and of the others: no class together, however often the rows stand there
+    rows += [(100 + k, "http://c.com/", f"<b>same</b><i>{'left' if k < 5 else 'right'}</i><u>{'left' if k < 5 else 'right'}</u>") for k in range(10)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("split(url, '/')[2] as host", "html")
+    got = {}
+    for r in htmltext.occurrence_classes(df).collect():
+        got.setdefault((r.host, r.cls), set()).add(r.token)
+        assert r.class_size >= 3
+    vectors = {}
+    for k, (_, url, text) in enumerate(rows):
+        for t, n in Counter([0, *(h for h in map(htmltext.token_hash, htmltext.walk(text)) if h is not None)]).items():
+            vectors.setdefault((url.split("/")[2], t), {})[k] = n
+    want = {}
+    for (host, t), v in vectors.items():
+        if len(v) >= htmltext.CLASS_PAGES:
+            want.setdefault((host, tuple(sorted(v.items()))), set()).add((host, t))
+    want = sorted(sorted(t for _, t in x) for x in want.values() if len(x) >= 3)
+    assert sorted(map(sorted, got.values())) == want and len(want) > 5
+
+
+def test_parsing_by_the_template(spark):
+    """Classes take their tokens in order, lie inside one another, and count as a whole; the rest are slots."""
+    t = htmltext.Template([(1, 0, 10), (1, 5, 11), (1, 9, 12), (2, 1, 20), (2, 2, 21), (2, 3, 22)])
+    show = lambda xs: [x for x, k in zip(xs, t.parse(xs), strict=True) if k]
+    assert show([10, 99, 20, 21, 22, 20, 21, 22, None, 11, 12]) == [10, 20, 21, 22, 20, 21, 22, 11, 12]
+    assert show([10, 20, 21, 11, 22, 12]) == [10, 11, 12]  # not nested: the inner one has not come to its end
+    assert show([11, 10, 99, 11, 12, 12]) == [10, 11, 12] and show([10, 11]) == show([12, 11, 10]) == show([]) == []
+    assert show([20, 22, 21]) == [20, 22] and show([10, 20, 20, 21, 22, 11, 12]) == [10, 20, 21, 22, 11, 12]
+    rng = random.Random(2)
+    rows = host_pages("a.com", rng, 20)
+    got = {r.page_id: r.text for r in htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    changed = 0
+    for k, _, text in rows:
+        plain = htmltext.extract(text)
+        assert got[k].startswith("own text") and "Buy today" not in got[k] and got[k].count("\n\n") == 1
+        changed += got[k] != plain
+    assert changed >= 5  # the template decides these pages
+
+
 def test_urls(spark):
     urls = ["http://A.com/en/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "https://m.www.example.com/en/", "http://x.net/es/1", "http://x.net/esx", "net/es/", None, "http://net/fr/#a", "http://casino.org/a", "http://casinoss.org/a", "http://cheap-pills.org", "http://cheap.org/cheap", "x://h?p://y", "http://a.com", ""]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x"), (None, "http://b.com/", "y")], "page_id long, url string, host string")
