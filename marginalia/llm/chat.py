@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import stash
+
 #: Turns of a conversation that are numbered and hashed together; longer ones are put together from several stretches.
 STRETCH = 1024
 #: How a turn is rendered; the role and the text take the braces' places.
@@ -60,7 +62,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows without a conv_id belong to no conversation and go; other columns are not carried; an empty table gives an empty
     result. A rendered conversation is one value, however long.
     """
-    hashed = prefix_hashes(turns)
+    hashed = stash(prefix_hashes(turns), "hashed")  # it is read three times
     kept = maximal_conversations(hashed)
     parts = hashed.join(kept, "conv_id").select("conv_id", "n_turns", "n_copies", F.struct("pos", _render(F.col("role"), F.col("text")).alias("line")).alias("part"))
     lines = parts.groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list("part")).alias("parts"))
