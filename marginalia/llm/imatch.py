@@ -5,6 +5,7 @@ corpus lies in a band of shares (so of inverse document frequencies). The band's
 document / LOW terms, however large the corpus, so it may come to the driver and stand in the plan as a set. From it
 LEVELS x SUBSETS random subsets are drawn, each level half as dense as the one before. A fingerprint has a hash of a
 document's sorted distinct terms in each subset; thin subsets survive edits of long documents, dense ones tell short ones apart.
+A document without any of the lexicon's terms has, in all subsets, the hash of all its terms: it is like its copies only.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term, docs: the terms in the band, of documents (doc_id, text)."""
+    """term, docs: the terms in the band, of documents (doc_id, text): at most the mean number of different terms a document / low.
+
+    A null text is empty; repeated rows count as often as they stand there; an empty table has no terms.
+    """
     total = docs.count()
     counts = docs.select(F.explode(terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
     return counts.where((F.col("term") != "") & (F.col("docs") >= max(LEAST, low * total)) & (F.col("docs") <= max(LEAST, high * total)))
@@ -49,23 +53,34 @@ def hash_table(hashes: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
 
 
-def kept_hashes(text: Column, table: Column, size: int) -> Column:
-    """Sorted 64-bit hashes of the text's distinct terms that are in the lexicon."""
-    hashes = F.transform(terms(text), lambda t: F.xxhash64(t))
-    return F.array_sort(F.filter(hashes, lambda h: F.array_contains(F.element_at(table, (F.pmod(h, F.lit(max(1, size)).cast("long")) + 1).cast("int")), h)))
+def term_hashes(text: Column) -> Column:
+    """Sorted 64-bit hashes of the text's distinct terms."""
+    return F.array_sort(F.transform(F.filter(terms(text), lambda t: t != ""), lambda t: F.xxhash64(t)))
+
 
+def kept_hashes(hashes: Column, table: Column, size: int) -> Column:
+    """Those of the hashes that are in the lexicon."""
+    return F.filter(hashes, lambda h: F.array_contains(F.element_at(table, (F.pmod(h, F.lit(max(1, size)).cast("long")) + 1).cast("int")), h))
 
-def subset_hashes(kept: Column) -> Column:
-    """A hash for each subset, 0 for one without terms. Level l takes 1 in SUBSETS * 2^l terms into each of its subsets."""
 
-    def of(level: int, subset: int, pool: Column) -> Column:
+def subset_hashes(text: Column, table: Column, size: int) -> Column:
+    """A hash for each subset, 0 for one without terms. Level l takes 1 in SUBSETS * 2^l terms into each of its subsets. Without
+    terms of the lexicon it is the hash of all terms in each, and 0 without any."""
+    zero = F.lit(0).cast("long")
+    draws = F.array(*[F.struct(F.lit(7 * level).alias("shift"), F.lit(SUBSETS << level).cast("long").alias("of"), F.lit(subset).cast("long").alias("subset")) for level in range(LEVELS) for subset in range(SUBSETS)])
+
+    def of(pool: Column, d: Column) -> Column:
         # other bits for every level, so that its subsets are drawn anew
-        draw = lambda h: F.pmod(F.shiftrightunsigned(h, 7 * level), F.lit(SUBSETS << level).cast("long"))
-        own = F.filter(pool, lambda h: draw(h) == F.lit(subset).cast("long"))
-        return F.when(F.size(own) > 0, F.xxhash64(own)).otherwise(F.lit(0).cast("long"))
+        own = F.filter(pool, lambda h: F.pmod(F.call_function("shiftrightunsigned", h, d["shift"]), d["of"]) == d["subset"])
+        return F.when(F.size(own) > 0, F.xxhash64(own)).otherwise(zero)
+
+    def drawn(x: Column) -> Column:
+        whole = F.when(F.size(x["every"]) > 0, F.xxhash64(x["every"])).otherwise(zero)
+        return F.when(F.size(x["pool"]) > 0, F.transform(draws, lambda d: of(x["pool"], d))).otherwise(F.transform(draws, lambda d: whole))
 
-    # the pool is a lambda's variable so that it is computed once, not in each subset
-    return F.transform(F.array(kept), lambda pool: F.array(*[of(level, subset, pool) for level in range(LEVELS) for subset in range(SUBSETS)]))[0]
+    # hashes and pool are lambdas' variables so that they are computed once
+    both = F.transform(F.array(term_hashes(text)), lambda every: F.struct(every.alias("every"), kept_hashes(every, table, size).alias("pool")))
+    return F.transform(both, drawn)[0]
 
 
 def fingerprint_text(hashes: Column) -> Column:
@@ -73,7 +88,7 @@ def fingerprint_text(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of subsets with the same hash among those where either has terms; 1 for two documents without any.
+    """The share of subsets with the same hash among those where either has terms; 1 for two documents without any term.
 
     The subsets are all of them, or those from the thinnest level on in which nearly all have terms, whichever agree more:
     of a long document an edit changes every dense subset.
@@ -141,13 +156,13 @@ def fingerprint_documents(docs: DataFrame, low: float = LOW, high: float = HIGH)
     words = stash(lexicon(own, low, high).select(F.xxhash64("term").alias("h")), "lexicon")
     hashes = sorted(r["h"] for r in words.distinct().collect())
     table = hash_table(hashes)
-    first = own.withColumn("prints", subset_hashes(kept_hashes(F.col("text"), table, len(hashes))))
+    first = own.withColumn("prints", subset_hashes(F.col("text"), table, len(hashes)))
     rows = with_next(first, ["prints"])
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next_text", "text"), F.lit(1), cut))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "prints", F.coalesce("next_prints", "prints").alias("next_prints"))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "prints", "next_prints", subset_hashes(kept_hashes(F.col("edited"), table, len(hashes))).alias("edited_prints"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "prints", "next_prints", subset_hashes(F.col("edited"), table, len(hashes)).alias("edited_prints"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint_text(F.col("prints")).alias("fingerprint"), fingerprint_text(F.col("edited_prints")).alias("edited_fingerprint"),
         likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"), likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),

@@ -288,6 +288,57 @@ def test_fingerprints(spark, monkeypatch):
     assert len(out) == len(texts) + 4 and [r.n_chars for r in out if r.doc_id is None] == [5]
 
 
+def xx(*values):
+    """xxhash64 of one value or an array, as signed 64 bits."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_prints(text, lexicon):
+    every = sorted(xx(t) for t in set(re.split(r"[^\w]+|_", text.lower())) - {""})
+    pool, out = [h for h in every if h in lexicon], []
+    for level in range(imatch.LEVELS):
+        for subset in range(imatch.SUBSETS):
+            own = [h for h in pool if ((h & (1 << 64) - 1) >> 7 * level) % (imatch.SUBSETS << level) == subset] if level else [h for h in pool if h % imatch.SUBSETS == subset]
+            out.append((xx(*own) if own else 0) if pool else xx(*every) if every else 0)
+    return out
+
+
+def brute_likeness(a, b):
+    def share(pairs):
+        some = [(x, y) for x, y in pairs if x or y]
+        return sum(x == y != 0 for x, y in some) / len(some) if some else 1.0
+
+    pairs, k = list(zip(a, b, strict=True)), imatch.SUBSETS
+    full = max(level if sum(bool(x or y) for x, y in pairs[level * k : level * k + k]) >= k - 1 else 0 for level in range(imatch.LEVELS))
+    return max(share(pairs), share(pairs[full * k :]))
+
+
+def test_fingerprints_by_brute_force(spark, monkeypatch):
+    """Lexicon, fingerprints, edited texts' fingerprints and likeness, a document at a time; short, empty and very long texts too."""
+    monkeypatch.setattr(imatch, "STRETCH", 11)
+    rng = random.Random(21)
+    texts = [" ".join(words_of(rng, rng.randint(20, 200))) for _ in range(50)]
+    texts += [None, "", "?!", "oneoff words", "oneoff Words!", "other oneoffs", texts[3], texts[3], " ".join(words_of(rng, 30_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n, counts = len(texts), Counter(t for x in texts for t in set(re.split(r"[^\w]+|_", (x or "").lower())) - {""})
+    words = {t for t, c in counts.items() if max(2, 0.05 * n) <= c <= max(2, 0.3 * n)}
+    assert {r.term for r in imatch.lexicon(df, 0.05, 0.3).collect()} == words and words
+    lexicon = {xx(t) for t in words}
+    show = lambda prints: "".join(f"{h & (1 << 64) - 1:016x}" for h in prints)
+    got = {r.doc_id: r for r in imatch.fingerprint_documents(df, 0.05, 0.3).collect()}
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i + 1) % n] or ""
+        cut = len(text) // 4
+        own, edited, following = (brute_prints(x, lexicon) for x in (text, text[: len(text) - cut] + after[:cut], after))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (show(own), show(edited))
+        assert (got[i].near_edited, got[i].near_next) == (pytest.approx(brute_likeness(own, edited)), pytest.approx(brute_likeness(own, following)))
+    short = texts.index("oneoff words")
+    assert got[short].near_next == 1.0 and got[short + 1].near_next == 0.0 and got[short - 1].near_next == 0.0
+
+
 def test_lexicon(spark):
     df = spark.createDataFrame([(1, "a b, B c"), (2, "a. (b) d"), (3, "a"), (4, None)], "doc_id long, text string")
     assert {r.term: r.docs for r in imatch.lexicon(df, 0.3, 0.6).collect()} == {"b": 2}
