@@ -201,16 +201,22 @@ def features(kind: str, samples: bytes, embedded: int) -> str:
     return f"{kind};samples={len(x)};mean={mean:.4f};std={spread:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};peak={int(x.max())};embedded={embedded}"
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, the payload's digests as read back, and the stored form, for each row of documents (doc_id, text).
+def carved(found: list[Found], blob: bytes, start: int, length: int) -> str:
+    """kind:offset:length:sha256 of the objects that lie in a stretch of the blob, offsets from its start, comma-joined."""
+    inside = [x for x in found if start <= x.offset and x.offset + x.length <= start + length]
+    return ",".join(f"{x.kind}:{x.offset - start}:{x.length}:{hashlib.sha256(blob[x.offset : x.offset + x.length]).hexdigest()}" for x in inside)
 
-    The text's UTF-8 bytes (none for null), padded to a positive multiple of 64, are stored as WAV samples under a general
-    type; the sniffer corrects the type and locates the samples, from which payload and features are read. Media inside the
-    payload are counted, not changed. Null ids and repeated rows pass through; other columns are not carried; an empty table
-    gives an empty result.
+
+def store_texts(docs: DataFrame, declared: str = "text/plain") -> DataFrame:
+    """doc_id, the payload's digests as read back, the stored form, and what the sniffer found, for each row of (doc_id, text).
+
+    The text's UTF-8 bytes (none for null), padded to a positive multiple of 64, are stored as WAV samples, declared as the text
+    they came from; the sniffer corrects the type (media_type) and locates the samples, from which payload and features are
+    read, and carves the media inside the payload (carved: kind:offset:length:sha256, by offset). Null ids and repeated rows
+    pass through; other columns are not carried; an empty table gives an empty result.
     """
-    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type")
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared_type", "media_type", "carved")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sniffer = Sniffer()
@@ -223,10 +229,15 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 kind = true_type(media, found)
                 at, n = found[0].data_offset, found[0].data_length
                 payload = media[at : at + n]
-                out.append((len(raw), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features(kind, payload, len(found) - 1), kind))
-            columns = list(zip(*out, strict=True)) or [()] * 8
+                held = (len(raw), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest())
+                out.append((*held, features(kind, payload, len(found) - 1), declared, kind, carved(found, media, at, n)))
+            columns = list(zip(*out, strict=True)) or [()] * 10
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string")
+    return own.mapInArrow(
+        run,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        "declared_type string, media_type string, carved string",
+    )

@@ -148,8 +148,18 @@ def test_sniffing(spark):
     assert media.sniff_media(rows.where("false")).count() == 0
 
 
+def brute_feature(samples, embedded):
+    """Moments and entropy of the samples, one at a time."""
+    n = len(samples)
+    mean = sum(samples) / n
+    spread = (sum(x * x for x in samples) / n - mean * mean) ** 0.5
+    entropy = -sum(c / n * np.log2(c / n) for c in Counter(samples).values())
+    return n, mean, spread, entropy, max(samples), embedded
+
+
 def test_stored_texts(spark):
-    texts = [*TEXTS, "y" * 64, "RIFF\x10\0\0\0WAVE", "z" * 63]
+    picture = "GIF89a\x01\0\x01\0\0\0\0,\0\0\0\0\x01\0\x01\0\0\x02\x02D\x01\0;"  # a picture that is text as well
+    texts = [*TEXTS, "y" * 64, "RIFF\x10\0\0\0WAVE", "z" * 63, f"see \u00e9 {picture} and {picture}", "GIF89a is no picture, BM neither"]
     got = media.store_texts(docs(spark, texts)).collect()
     assert len(got) == len(texts) + 2
     for r in got:
@@ -159,7 +169,12 @@ def test_stored_texts(spark):
         pad = raw + bytes(-len(raw) % 64)
         pad = pad or bytes(64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
-        assert r.media_sha256 == hashlib.sha256(media.to_wav(pad)).hexdigest() and r.media_type == "audio/wav"
+        assert r.media_sha256 == hashlib.sha256(media.to_wav(pad)).hexdigest() and (r.declared_type, r.media_type) == ("text/plain", "audio/wav")
+        own, at = picture.encode(), [m.start() for m in re.finditer(re.escape(picture.encode()), pad)]
+        assert r.carved == ",".join(f"image/gif:{i}:{len(own)}:{hashlib.sha256(own).hexdigest()}" for i in at)
+        kind, *parts = r.feature.split(";")
+        got_feature = [float(x.split("=")[1]) for x in parts]
+        assert kind == "audio/wav" and got_feature == pytest.approx(brute_feature(pad, len(at)), abs=6e-5)
 
 
 # --- personal data ----------------------------------------------------------------------------------------------------
