@@ -18,9 +18,10 @@ def members(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 
 def self_pairs(df: DataFrame, keys: list[str], split: str, a, b, columns: list[str]) -> DataFrame:
     """Rows with split = a beside those with split = b of the same key: columns as <c>_a and <c>_b. One pass, one shuffle:
-    a conditional aggregation. (keys, split) must be unique."""
+    a conditional aggregation. A (keys, split) that stands twice is an error when the query runs, never a lost pair."""
     made = [F.max(F.when(F.col(split) == v, F.col(c))).alias(f"{c}_{s}") for c in columns for v, s in ((a, "a"), (b, "b"))]
-    both = (F.count_if(F.col(split) == a) == 1) & (F.count_if(F.col(split) == b) == 1)
+    n_a, n_b = F.count_if(F.col(split) == a), F.count_if(F.col(split) == b)
+    both = F.when((n_a > 1) | (n_b > 1), F.raise_error(F.lit(f"{', '.join(keys)}, {split} is no key")).cast("boolean")).otherwise((n_a == 1) & (n_b == 1))
     return df.where(F.col(split).isin(a, b)).groupBy(*keys).agg(both.alias("_both"), *made).where("_both").drop("_both")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,23 @@ def assert_same_total(a: int, b: int, label: str, registry: Registry = REGISTRY)
     assert_total(a, b, label, registry)
 
 
+def assert_design(df: DataFrame, expected: dict[str, int], label: str, registry: Registry = REGISTRY) -> None:
+    """A design's cardinalities: rows, and <column> different values of a column, as expected says ({"rows": 1536, "model": 8})."""
+    made = [(F.count("*") if k == "rows" else F.count_distinct(k)).alias(k) for k in expected]
+    found = df.agg(*made).first().asDict()
+    if found != expected:
+        raise ContractError(f"{label}: {found} found, {expected} expected")
+    registry.passed(label)
+
+
+def assert_group_size(df: DataFrame, keys: list[str], size: int, label: str, registry: Registry = REGISTRY) -> None:
+    """Every group has exactly so many rows."""
+    odd = df.groupBy(*keys).count().where(F.col("count") != size).limit(3).collect()
+    if odd:
+        raise ContractError(f"{label}: groups of {size} expected, e.g. {[r.asDict() for r in odd]}")
+    registry.passed(label)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
 
@@ -116,6 +135,29 @@ def checksum_mismatches(files: DataFrame, expected: DataFrame) -> DataFrame:
     return both.where(~F.col("sha256").eqNullSafe(F.col("expected")))
 
 
+#: Folders of a release that are made, not shipped.
+MADE = frozenset(("generated", "logs", "__pycache__", ".git", ".venv", "outputs", "rendered", "checkpoints"))
+
+
+def tree_problems(root: str, made: frozenset[str] = MADE) -> list[tuple[str, str]]:
+    """path, problem of symbolic links, and of Python files that do not parse, below a folder on the driver (release_problems
+    looks into files, which Spark reads; links are known to the file system only)."""
+    found = []
+    for folder, folders, names in os.walk(root):
+        folders[:] = sorted(f for f in folders if f not in made)
+        for name in sorted([*names, *folders]):
+            path = os.path.join(folder, name)
+            if os.path.islink(path):
+                found.append((os.path.relpath(path, root), "symbolic link"))
+            elif name.endswith(".py") and os.path.isfile(path):
+                try:
+                    with open(path, "rb") as f:
+                        ast.parse(f.read())
+                except (SyntaxError, ValueError):
+                    found.append((os.path.relpath(path, root), "syntax"))
+    return found
+
+
 def release_problems(files: DataFrame, sensitive: Column, most_bytes: int = 100 * 1024 * 1024) -> DataFrame:
     """path, problem: oversized files and files whose text matches `sensitive` (a predicate over the column text)."""
     checked = files.withColumn("text", F.col("content").cast("string"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEED = 20260907
-DRAWS = 2000
+DRAWS = 10_000
 LEVELS = (0.025, 0.975)
 
 

@@ -26,7 +26,9 @@ class MockScorer:
 
 
 def normal_scores(scores: Mapping | Sequence, labels: Sequence[str]) -> dict[str, float]:
-    """A finite number for each label, from a mapping or a sequence in the labels' order."""
+    """A finite number for each label, from a mapping or a sequence in the labels' order; no labels are an error."""
+    if not len(labels):
+        raise ValueError("no labels to score")
     if not isinstance(scores, Mapping):
         if len(scores) != len(labels):
             raise ValueError(f"{len(scores)} scores for {len(labels)} labels")
@@ -43,7 +45,8 @@ def call(scorer, view: str, labels: Sequence[str], question: str | None) -> dict
     method = next((m for m in (getattr(scorer, n, None) for n in ("score_logprobs", "score", "score_view")) if m), None)
     if method is None:
         raise TypeError(f"{type(scorer).__name__} has no scoring method")
-    takes = "question" in inspect.signature(method).parameters
+    parameters = inspect.signature(method).parameters
+    takes = "question" in parameters or any(p.kind is p.VAR_KEYWORD for p in parameters.values())
     return normal_scores(method(view, labels, question=question) if takes else method(view, labels), labels)
 
 

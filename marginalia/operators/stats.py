@@ -30,6 +30,43 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, ties: l
     return ranked.groupBy(*by).agg(F.corr(F.col("_x").cast("double"), F.col("_y").cast("double")).alias("rho"), F.count("*").alias("n"))
 
 
+def value_places(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, n, below: how many rows of the group have the value, and how many a smaller one. Rows are counted by value
+    before anything is ordered, so windows see a group's different values only."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+
+
+def spearman_of_units(df: DataFrame, x: str, y: str, by: list[str], ties: list[str] | None = None) -> DataFrame:
+    """spearman() for tables that grow with the data: ranks come from value_places, ties are numbered within their value."""
+    ranked = df
+    for c, rank in ((x, "_x"), (y, "_y")):
+        places = value_places(df, c, by).withColumnsRenamed({"n": "_n", "below": "_below"})
+        ranked = ranked.join(places, [*by, c])
+        own = F.row_number().over(Window.partitionBy(*by, c).orderBy(*ties)) if ties else (F.col("_n") + 1) / 2.0
+        ranked = ranked.withColumn(rank, (F.col("_below") + own).cast("double")).drop("_n", "_below")
+    return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, Column | float]) -> DataFrame:
+    """Exact quantiles, interpolated linearly, by group: a column for each share, which may itself be a column that is constant
+    in df. Nulls do not count."""
+    carried = {k: v for k, v in shares.items() if isinstance(v, Column)}
+    own = df.where(F.col(value).isNotNull()).select(*by, value, *[v.alias(f"_q_{k}") for k, v in carried.items()])
+    constant = [f"_q_{k}" for k in carried]
+    placed = value_places(own, value, [*by, *constant])
+    total = F.sum("n").over(Window.partitionBy(*by, *constant).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = placed.withColumn("_last", total - 1)
+    made = []
+    for k, v in shares.items():
+        at = (F.col(f"_q_{k}") if k in carried else F.lit(v)) * F.col("_last")
+        value_at = lambda i: F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("n")), F.col(value)))
+        lo, part = value_at(F.floor(at)), F.max(at - F.floor(at))
+        made.append((lo + (value_at(F.ceil(at)) - lo) * part).alias(k))
+    return placed.groupBy(*by).agg(*made)
+
+
 def cohen_kappa(df: DataFrame, a: Column, b: Column, by: list[str] | None = None) -> DataFrame:
     """Agreement of two predicates beyond chance, in one aggregation."""
     x, y = a.cast("double"), b.cast("double")

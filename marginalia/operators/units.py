@@ -22,6 +22,14 @@ def pivot_views(scores: DataFrame, keys: list[str], view: str = "view", value: s
     return scores.groupBy(*keys).agg(*made)
 
 
+def in_order(df: DataFrame, column: str, order: tuple[str, ...]) -> DataFrame:
+    """df with `place`, the value's place from 1 in a fixed order of presentation, sorted by it; a value without a place is an
+    error when the query runs. For result tables."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    place = F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(F.raise_error(F.concat(F.lit("no place for "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast("bigint"))
+    return df.withColumn("place", place).orderBy("place")
+
+
 def explode_views(manifest: DataFrame, views: str = "views") -> DataFrame:
     """A row for each condition and view; the view's fields stand beside the condition's."""
     return manifest.select(*[c for c in manifest.columns if c != views], F.inline(views))

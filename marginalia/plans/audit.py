@@ -9,7 +9,8 @@ from marginalia.functions import metrics as M
 from marginalia.functions import text as T
 from marginalia.operators import contracts as C
 from marginalia.operators import units as U
-from marginalia.operators.stats import swept
+from marginalia.operators.stats import quantiles, swept
+from marginalia.operators.units import in_order
 from marginalia.plans.base import checked, n_if, query, r9
 from marginalia.plans.proxy import scores, table, units
 
@@ -112,7 +113,8 @@ _Q = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 @query("SELECT model, " + ", ".join(f"round(quantile_cont(h, {q}), 9) AS {k}" for k, q in _Q.items()) + ", min(h) AS least, max(h) AS most FROM checked WHERE ok GROUP BY model")
 def h_quantiles(spark: S, d: str) -> DataFrame:
-    return checked(spark, d).where("ok").groupBy("model").agg(*[r9(F.percentile("h", F.lit(q)), k) for k, q in _Q.items()], F.min("h").alias("least"), F.max("h").alias("most"))
+    made = quantiles(checked(spark, d).where("ok"), "h", ["model"], _Q | {"least": 0.0, "most": 1.0})
+    return made.select("model", *[F.round(k, 9).alias(k) for k in _Q], "least", "most")
 
 
 _EDGES = (0.0, 0.5, 1.0, 1.5, 2.0, float("inf"))
@@ -230,10 +232,36 @@ def set_intersect(spark: S, d: str) -> DataFrame:
     return u.where("model = 'm0'").select("category").intersect(u.where("model = 'm1'").select("category"))
 
 
-@query("SELECT DISTINCT question FROM units WHERE model = 'm0' EXCEPT SELECT DISTINCT question FROM units WHERE model = 'm1'")
+@query("SELECT DISTINCT question FROM checked WHERE model = 'm0' AND fail EXCEPT SELECT DISTINCT question FROM checked WHERE model = 'm1' AND fail")
 def set_difference(spark: S, d: str) -> DataFrame:
-    u = units(spark, d)
-    return u.where("model = 'm0'").select("question").distinct().join(u.where("model = 'm1'"), "question", "left_anti")
+    failed = checked(spark, d).where("fail").select("model", "question")
+    return failed.where("model = 'm0'").select("question").distinct().join(failed.where("model = 'm1'"), "question", "left_anti")
+
+
+#: The order in which models are shown.
+ORDER = ("m5", "m0", "m3", "m7", "m1", "m6", "m2", "m4")
+
+
+@query("SELECT place, model, n, failures FROM (SELECT model, count(*) AS n, count(*) FILTER (fail) AS failures FROM checked GROUP BY model) JOIN (VALUES " + ", ".join(f"('{m}', {i}::BIGINT)" for i, m in enumerate(ORDER, 1)) + ") o(model, place) USING (model) ORDER BY place")
+def presentation_order(spark: S, d: str) -> DataFrame:
+    own = checked(spark, d).groupBy("model").agg(F.count("*").alias("n"), n_if("fail", "failures"))
+    return in_order(own, "model", ORDER).select("place", "model", "n", "failures")
+
+
+_EVERY = """, every AS (
+  SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS rn, l_quantity FROM lineitem
+), wider AS (
+  SELECT o, max(m) FILTER (rn = 1) AS mf, max(m) FILTER (rn = 2) AS mt, min(m) FILTER (rn >= 3) AS mj_min, count(*) FILTER (rn >= 3) AS n_rivals
+  FROM (SELECT o, rn, (CAST(l_quantity AS INTEGER) - 20)::DOUBLE / 16 + (CASE rn WHEN 1 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.5 END)::DOUBLE AS m FROM every) GROUP BY o HAVING count(*) >= 3
+)
+"""
+
+
+@query(_EVERY + "SELECT n_rivals, count(*) AS n, count(*) FILTER (mf > 0) AS correct, count(*) FILTER (mf > 0 AND least(mf, mj_min) <= mt) AS failures FROM wider GROUP BY n_rivals")
+def all_rivals(spark: S, d: str) -> DataFrame:
+    """Every line item of an order is a view, so units have as many rivals as there are."""
+    wide = U.pivot_views(scores(spark, d, None), ["condition_id"]).where(M.usable())
+    return wide.groupBy("n_rivals").agg(F.count("*").alias("n"), n_if(M.correct(), "correct"), n_if(M.failure(), "failures"))
 
 
 @query("SELECT lvl, count(*) AS n FROM (SELECT 'low' AS lvl FROM units WHERE snr = -5 UNION ALL SELECT 'mid' FROM units WHERE snr = 0 UNION ALL SELECT 'high' FROM units WHERE snr = 5) GROUP BY lvl")

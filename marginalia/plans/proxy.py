@@ -23,10 +23,12 @@ def _div(x: str, n: int) -> Column:
     return F.expr(f"{x} div {n}")
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """condition_id, rn, view, partkey, logp_present, logp_absent, margin: a row for each view of each order."""
+def scores(spark: SparkSession, sf_dir: str, views: int | None = 4) -> DataFrame:
+    """condition_id, rn, view, partkey, logp_present, logp_absent, margin: a row for each of the first `views` (None: all) views
+    of each order. Designs have two rivals at most, so four views are all of a unit's in most plans."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.row_number().over(w).cast("long").alias("rn")).where("rn <= 4")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.row_number().over(w).cast("long").alias("rn"))
+    lines = lines if views is None else lines.where(F.col("rn") <= views)
     bonus = F.when(F.col("rn") == 1, 1.0).when(F.col("rn") == 2, -1.0).otherwise(0.5)
     margin = (F.col("l_quantity").cast("int") - 20) / F.lit(16.0) + bonus
     view = F.when(F.col("rn") == 1, "full").when(F.col("rn") == 2, "remove_target").otherwise(F.concat(F.lit("remove_off_"), (F.col("rn") - 2).cast("string")))

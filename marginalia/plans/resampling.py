@@ -13,7 +13,7 @@ from marginalia.plans.structure import _CAT
 
 S = SparkSession
 N = R.DRAWS
-PERMUTATIONS = 500
+PERMUTATIONS = 10_000
 
 
 def draws_sql(counts: str, columns: list[str]) -> str:
@@ -52,6 +52,13 @@ def boot_ratio(spark: S, d: str) -> DataFrame:
     return _rounded(R.cluster_bootstrap(_by_tuple(spark, d), "tuple", {"rankfail": ("num", "den")}))
 
 
+# the numbers of numpy's generator, which SQL cannot make; tested against numpy
+@query()
+def boot_pcg64(spark: S, d: str) -> DataFrame:
+    counts = _by_tuple(spark, d)
+    return _rounded(R.cluster_bootstrap(counts, "tuple", {"rankfail": ("num", "den")}, draws=R.pcg64_draws(spark, counts.count())))
+
+
 _LEVELS = "SELECT tuple AS cluster, " + ", ".join(f"count(*) FILTER (ok AND snr = {s}) AS d{i}, count(*) FILTER (fail AND snr = {s}) AS n{i}" for i, s in enumerate((5, -5))) + " FROM checked GROUP BY tuple"
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import metrics as M
-from marginalia.functions.normal import d_prime
+from marginalia.functions.normal import d_prime, d_prime_sql
 from marginalia.operators import cohorts as K
 from marginalia.operators import stats as A
 from marginalia.operators.resample import SEED, md5_int
 from marginalia.plans.base import checked, n_if, query, r9
-from marginalia.plans.proxy import scores, units
+from marginalia.plans.proxy import scores, table, units
 
 S = SparkSession
 KEY = ["snr", "overlap", "question"]
@@ -79,11 +79,17 @@ def repair_pairs(spark: S, d: str) -> DataFrame:
   SELECT b.unit_id, r.ok, r.fail FROM checked b, nq, range(5) g(i) JOIN checked r ON r.model = b.model AND r.snr = b.snr AND r.overlap = b.overlap AND r.question = (b.question + 1 + i) % k)
 SELECT unit_id, count(*) AS n, count(*) FILTER (ok) AS n_ok, count(*) FILTER (fail) AS n_fail FROM redraws GROUP BY unit_id""")
 def redraw_join(spark: S, d: str) -> DataFrame:
-    u = checked(spark, d)
-    k = u.agg(F.max("question") + 1).first()[0] or 1
-    wanted = u.select("unit_id", "model", "snr", "overlap", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.pmod(F.col("question") + 1 + i, F.lit(k)))).alias("question"))
-    redrawn = u.select("model", "snr", "overlap", "question", "ok", "fail")
-    return wanted.join(redrawn, ["model", "snr", "overlap", "question"]).groupBy("unit_id").agg(F.count("*").alias("n"), n_if("ok", "n_ok"), n_if("fail", "n_fail"))
+    u = checked(spark, d).select("unit_id", "model", "snr", "overlap", "question", "ok", "fail")
+    k = F.broadcast(table(spark, d, "lineitem").groupBy("l_orderkey").count().where("count >= 3").agg((F.expr("max(l_orderkey) div 48") + 1).alias("k")))  # one row
+    # a unit goes to its own key and, as a redraw, to the five keys before it: one shuffle by key and no join of units
+    nothing = F.lit(None).cast("long")
+    own = F.array(F.struct(F.col("question").alias("at"), F.col("unit_id").alias("base"), F.lit(0).alias("redraws")))
+    to = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(F.pmod(F.col("question") - i, F.col("k")).alias("at"), nothing.alias("base"), F.lit(1).alias("redraws")))
+    rows = u.crossJoin(k).select("model", "snr", "overlap", "ok", "fail", F.inline(F.concat(own, to)))
+    redrawn = F.col("redraws") == 1
+    sums = rows.groupBy("model", "snr", "overlap", "at").agg(F.max("base").alias("unit_id"), F.count("base").alias("bases"), n_if(redrawn, "n"), n_if(redrawn & F.col("ok"), "n_ok"), n_if(redrawn & F.col("fail"), "n_fail"))
+    once = F.when(F.col("bases") > 1, F.raise_error(F.lit("model, snr, overlap, question is no key")).cast("boolean")).otherwise(F.col("bases") == 1)
+    return sums.where(once & (F.col("n") > 0)).select("unit_id", "n", "n_ok", "n_fail")
 
 
 _FACTORS = ", designed AS (SELECT *, question % 4 AS wording, (question // 4) % 2 AS mapping, question // 4 AS grp, question // 8 AS pair FROM checked)"
@@ -204,12 +210,12 @@ def pearson(spark: S, d: str) -> DataFrame:
 
 @query("SELECT model, round(corr(rx, ry), 9) AS rho, count(*) AS n FROM (SELECT model, row_number() OVER (PARTITION BY model ORDER BY mf, unit_id) AS rx, row_number() OVER (PARTITION BY model ORDER BY mt, unit_id) AS ry FROM units) GROUP BY model")
 def spearman_ordinal(spark: S, d: str) -> DataFrame:
-    return A.spearman(units(spark, d), "mf", "mt", ["model"], ties=["unit_id"]).select("model", F.round("rho", 9).alias("rho"), "n")
+    return A.spearman_of_units(units(spark, d).select("model", "unit_id", "mf", "mt"), "mf", "mt", ["model"], ties=["unit_id"]).select("model", F.round("rho", 9).alias("rho"), "n")
 
 
 @query("SELECT model, round(corr(rx, ry), 9) AS rho, count(*) AS n FROM (SELECT model, rank() OVER (PARTITION BY model ORDER BY mf) + (count(*) OVER (PARTITION BY model, mf) - 1) / 2 AS rx, rank() OVER (PARTITION BY model ORDER BY mt) + (count(*) OVER (PARTITION BY model, mt) - 1) / 2 AS ry FROM units) GROUP BY model")
 def spearman_avg(spark: S, d: str) -> DataFrame:
-    return A.spearman(units(spark, d), "mf", "mt", ["model"]).select("model", F.round("rho", 9).alias("rho"), "n")
+    return A.spearman_of_units(units(spark, d).select("model", "mf", "mt"), "mf", "mt", ["model"]).select("model", F.round("rho", 9).alias("rho"), "n")
 
 
 @query("SELECT unit_id, model, h, mf FROM checked WHERE fail ORDER BY h, mf DESC, unit_id LIMIT 12")
@@ -276,10 +282,11 @@ def matched_delta(spark: S, d: str) -> DataFrame:
 t AS (SELECT max(mf) FILTER (i = floor(q * last)) + (max(mf) FILTER (i = ceil(q * last)) - max(mf) FILTER (i = floor(q * last))) * (max(q * last) - floor(max(q * last))) AS tau FROM o) SELECT round(tau, 9) AS tau, count(*) FILTER (mf > tau) AS n, count(*) FILTER (mf > tau AND least(mf, mj_min) <= mt) AS failures FROM units, t WHERE model = 'm3' GROUP BY tau""")
 def tau_matched(spark: S, d: str) -> DataFrame:
     u = units(spark, d)
-    accuracy = u.where("model = 'm4'").agg(F.avg(M.correct().cast("int"))).first()[0] or 0.0
+    share = u.where("model = 'm4'").agg((1 - F.coalesce(F.avg(M.correct().cast("int")), F.lit(0.0))).alias("q"))
     own = u.where("model = 'm3'")
-    tau = own.agg(F.percentile("mf", F.lit(1 - accuracy))).first()[0]
-    return own.agg(F.round(F.lit(tau).cast("double"), 9).alias("tau"), n_if(M.correct(F.lit(tau)), "n"), n_if(M.failure(F.lit(tau)), "failures"))
+    tau = A.quantiles(own.select("mf").crossJoin(F.broadcast(share)), "mf", [], {"tau": F.col("q")})  # one row each
+    sums = own.crossJoin(F.broadcast(tau)).groupBy("tau").agg(n_if(M.correct(F.col("tau")), "n"), n_if(M.failure(F.col("tau")), "failures"))
+    return sums.select(F.round("tau", 9).alias("tau"), "n", "failures")
 
 
 @query(f""", k AS (SELECT *, CASE WHEN ('0x' || substr(md5({SEED} || '|' || unit_id), 1, 8))::BIGINT % 2 = 0 THEN mj_min ELSE mj_max END AS kept FROM checked WHERE n_rivals = 2 AND ok)
@@ -298,11 +305,10 @@ def pooled_rivals(spark: S, d: str) -> DataFrame:
     return pooled.groupBy("model").agg(F.count("*").alias("n"), n_if(F.col("dt") - F.greatest(F.lit(0.0), "max_dj") <= 0, "failures"), F.sum("rivals").alias("rivals"))
 
 
-# d' needs the inverse normal distribution function, which DuckDB lacks
-@query()
+@query(f", r AS (SELECT model, avg((mf > 0)::INT) AS hit, avg((mt > 0)::INT) AS fa FROM units GROUP BY model) SELECT model, round({d_prime_sql('hit', 'fa')}, 9) AS dprime FROM r")
 def dprime(spark: S, d: str) -> DataFrame:
     rates = checked(spark, d).groupBy("model").agg(F.avg((F.col("mf") > 0).cast("double")).alias("hit"), F.avg((F.col("mt") > 0).cast("double")).alias("fa"))
-    return rates.select("model", F.round(d_prime(F.col("hit"), F.col("fa")), 9).alias("dprime"))
+    return rates.select("model", F.round(d_prime("hit", "fa"), 9).alias("dprime"))
 
 
 _FLOOR = 1e-3

@@ -60,9 +60,32 @@ def indexed_scores(spark: SparkSession, root: str, index: DataFrame, schema: str
     return df.withColumn("_name", name).withColumn("_folder", folder).join(F.broadcast(by), ["_folder", "_name"]).drop("_folder", "_name")
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _keep(key: tuple, make) -> DataFrame:
+    if key not in _kept:
+        _kept[key] = make().persist()
+    return _kept[key]
+
+
+def release_kept() -> None:
+    """Let go of all scans that are kept for several uses."""
+    while _kept:
+        _kept.popitem()[1].unpersist()
+
+
 def panel_scores(spark: SparkSession, root: str, index: DataFrame, panel: str, model: str, schema: str) -> DataFrame:
-    """One panel's and model's scores, kept for several uses."""
-    return indexed_scores(spark, root, index.where((F.col("panel") == panel) & (F.col("model") == model)), schema).cache()
+    """One panel's and model's scores, read once and kept for several uses, until release_kept()."""
+    own = index.where((F.col("panel") == panel) & (F.col("model") == model))
+    return _keep((spark, root, panel, model, schema), lambda: indexed_scores(spark, root, own, schema))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A panel's manifest, read once and kept for several uses, until release_kept()."""
+    from marginalia.sources.schemas import MANIFEST
+
+    return _keep((spark, path), lambda: json_lines(spark, path, MANIFEST))
 
 
 def keyed_lookup(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def json_lines(df: DataFrame, path: str) -> None:
-    """JSON lines with sorted keys."""
-    df.select(*sorted(df.columns)).write.mode("errorifexists").json(path)
+def json_lines(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """JSON lines with sorted keys; with an order, rows are in it over all files by name."""
+    rows = df.select(*sorted(df.columns))
+    (rows.orderBy(*order) if order else rows).write.mode("errorifexists").json(path)
 
 
 def json_result(df: DataFrame, path: str) -> None:
@@ -74,24 +75,28 @@ def addressed(rows: DataFrame, root: str, verify_existing: bool = False) -> Data
 
 
 class RunManifest:
-    """Steps with their result, seconds and digests."""
+    """Steps with their result, seconds and digests of what they read and wrote."""
 
     def __init__(self) -> None:
         self.steps: list[dict] = []
 
-    def step(self, name: str, run, outputs: tuple[str, ...] = ()):
-        began, code = time.time(), 1
+    @staticmethod
+    def _digests(paths: tuple[str, ...]) -> dict[str, str]:
+        out = {}
+        for p in paths:
+            if os.path.isfile(p):
+                with open(p, "rb") as f:
+                    out[p] = hashlib.file_digest(f, "sha256").hexdigest()
+        return out
+
+    def step(self, name: str, run, outputs: tuple[str, ...] = (), inputs: tuple[str, ...] = ()):
+        began, code, read = time.time(), 1, self._digests(inputs)
         try:
             result = run()
             code = 0
             return result
         finally:
-            digests = {}
-            for p in outputs:
-                if os.path.isfile(p):
-                    with open(p, "rb") as f:
-                        digests[p] = hashlib.sha256(f.read()).hexdigest()
-            self.steps.append({"step": name, "code": code, "seconds": round(time.time() - began, 3), "outputs": digests})
+            self.steps.append({"step": name, "code": code, "seconds": round(time.time() - began, 3), "inputs": read, "outputs": self._digests(outputs)})
 
     def write(self, path: str) -> None:
         with open(path, "w") as f:

@@ -72,29 +72,29 @@ def test_text(spark):
 
 def test_guards(spark):
     reg = C.Registry()
-    with pytest.raises(C.ContractError, match="3,572.*5,466.*-1,894"):
-        C.assert_partition({"A": 1537, "B": 2035}, 5466, "lossy", reg)
-    C.assert_partition({"A": 2355, "B": 3111}, 5466, "good", reg)
-    C.assert_partition([2355, 3111], 5466, "sequence", reg)
-    for parts in ([-1, 5467], [2355.5, 3110.5], [True, 5465]):
+    with pytest.raises(C.ContractError, match="9.*12.*-3"):
+        C.assert_partition({"left": 4, "right": 5}, 12, "too few", reg)
+    C.assert_partition({"left": 7, "right": 5}, 12, "parts", reg)
+    C.assert_partition([0, 12], 12, "list", reg)
+    for parts in ([13, -1], [6.5, 5.5], [True, 11]):
         with pytest.raises(C.ContractError):
-            C.assert_partition(parts, 5466, "bad", reg)
-    assert C.sum_matches([2355, 3111], 5466) and not C.sum_matches([1, 2], 5466)
-    C.assert_total(5466, 5466, "total", reg)
-    C.assert_same_total(5466, 5466, "same", reg)
+            C.assert_partition(parts, 12, "no counts", reg)
+    assert C.sum_matches((3, 9), 12) and not C.sum_matches((3, 8), 12)
+    C.assert_total(40, 40, "sum", reg)
+    C.assert_same_total(41, 41, "sums", reg)
     for f in (C.assert_total, C.assert_same_total):
         with pytest.raises(C.ContractError):
-            f(2355, 3111, "differs", reg)
-    assert reg.verified == ["good", "sequence", "total", "same"]
-    rows = spark.createDataFrame([("x", 0, 1), ("x", 1, 2), ("y", 0, 3)], "q string, rep int, v int")
+            f(40, 41, "differ", reg)
+    assert reg.verified == ["parts", "list", "sum", "sums"]
+    seats = spark.createDataFrame([(row, seat, 10 * row + seat) for row in (1, 2, 3) for seat in range(row)], "row int, seat int, price int")
     with pytest.raises(C.ContractError):
-        C.bucket_unique(rows, ["q"], "under-specified", reg)
-    assert C.bucket_unique(rows, ["q", "rep"], "key", reg).count() == 3
-    assert {r["q"]: r["count"] for r in C.bucket_multi(rows, ["q"], "multi", reg).collect()} == {"x": 2, "y": 1}
+        C.bucket_unique(seats, ["row"], "rows have seats", reg)
+    assert C.bucket_unique(seats, ["row", "seat"], "key", reg).count() == 6
+    assert {r["row"]: r["count"] for r in C.bucket_multi(seats, ["row"], "multi", reg).collect()} == {1: 1, 2: 2, 3: 3}
     with pytest.raises(C.ContractError):
-        C.assert_bounds(rows, "v", 0, 2, "bounds", reg)
+        C.assert_bounds(seats, "price", 10, 31, "bounds", reg)
     with pytest.raises(C.ContractError):
-        C.assert_coverage(rows, rows.where("q = 'x'"), ["q"], "coverage", reg)
-    C.assert_agree(rows, rows, ["q", "rep"], "v", "agree", reg)
+        C.assert_coverage(seats, seats.where("row < 3"), ["row"], "coverage", reg)
+    C.assert_agree(seats, seats, ["row", "seat"], "price", "agree", reg)
     with pytest.raises(C.ContractError):
-        C.assert_agree(rows, rows.where("v < 3"), ["q", "rep"], "v", "missing", reg)
+        C.assert_agree(seats, seats.where("price < 32"), ["row", "seat"], "price", "missing", reg)

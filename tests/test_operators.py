@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions.normal import d_prime
-from marginalia.operators import audio, cohorts, probes, resample, scorer, stats, units
+from marginalia.functions import text
+from marginalia.functions.normal import d_prime, normal_quantile
+from marginalia.operators import audio, cohorts, contracts, probes, resample, scorer, stats, units
 from marginalia.sources import readers, schemas, writers
 from marginalia.streaming.verdicts import running_totals
 
@@ -51,7 +52,9 @@ def test_correlations_and_kappa(spark):
 def test_cohorts(spark):
     df = spark.createDataFrame([(1, 5, True), (1, 0, True), (2, 5, True), (2, 0, False), (3, 5, True), (4, 5, True), (4, 5, True)], "k int, lvl int, ok boolean")
     assert [r.k for r in cohorts.complete_groups(df, ["k"], "lvl", 2, F.col("ok")).collect()] == [1]
-    pairs = cohorts.self_pairs(df, ["k"], "lvl", 5, 0, ["ok"]).orderBy("k").collect()
+    with pytest.raises(Exception, match="no key"):
+        cohorts.self_pairs(df, ["k"], "lvl", 5, 0, ["ok"]).collect()
+    pairs = cohorts.self_pairs(df.distinct(), ["k"], "lvl", 5, 0, ["ok"]).orderBy("k").collect()
     assert [(r.k, r.ok_a, r.ok_b) for r in pairs] == [(1, True, True), (2, True, False)]
 
 
@@ -67,7 +70,7 @@ def test_bootstrap_equals_numpy(spark, empty):
 
 
 def test_d_prime(spark):
-    r = spark.createDataFrame([(0.975, 0.5), (1.0, 0.0)], "h double, f double").select(d_prime(F.col("h"), F.col("f")).alias("d")).collect()
+    r = spark.createDataFrame([(0.975, 0.5), (1.0, 0.0)], "h double, f double").select(d_prime("h", "f").alias("d")).collect()
     assert r[0].d == pytest.approx(1.959964, abs=1e-5) and r[1].d == pytest.approx(2 * 4.753424, abs=1e-4)
 
 
@@ -87,22 +90,28 @@ def test_scorer(spark):
         scorer.normal_scores([float("nan"), 1], ["A", "B"])
     with pytest.raises(KeyError):
         scorer.normal_scores({"A": 1}, ["A", "B"])
+    with pytest.raises(ValueError):
+        scorer.normal_scores({}, [])
+
+    class Any:
+        def score(self, view, labels, **more):
+            return [len(more["question"]), 0.0]
+
+    assert scorer.call(Any(), "a.wav", ["A", "B"], "who") == {"A": 3.0, "B": 0.0}
 
 
 def test_audio(spark, tmp_path):
     x, y = np.linspace(-0.5, 0.5, 100), np.full(40, 0.25)
-    content = audio.encode(audio.mix([(x, 0, 1.0), (y, 80, 2.0)], 100))
+    content = audio.encode(audio.mix([(0, x, 0, 1.0), (1, y, 60, 2.0)], 100))
     rate, back = readers.decode_wav(content, 32767, mono16=True)
     want = x.copy()
-    want[80:] += 0.5
+    want[60:] += 0.5
     assert rate == audio.RATE and np.abs(back - np.clip(want, -1, 1)).max() < 1 / 32767
-    rows = spark.createDataFrame([("a.wav", [(x.tolist(), 0, 1.0), (y.tolist(), 80, 2.0)], hashlib.sha256(content).hexdigest())], "path string, sources array<struct<samples:array<double>,onset:long,gain:double>>, audio_sha256 string")
-    made = audio.render(rows, 100)
-    assert bytes(made.first()["content"]) == content
-    assert [r.state for r in writers.addressed(made, str(tmp_path / "out")).collect()] == ["written"]
-    assert [r.state for r in writers.addressed(made, str(tmp_path / "out"), True).collect()] == ["verified"]
-    with pytest.raises(Exception, match="a.wav"):
-        writers.addressed(made, str(tmp_path / "out")).collect()
+    assert (audio.mix([(0, x, 0, 1.0), (1, y, 60, 2.0)], 100, 1) == x).all()
+    for at in (61, -1):
+        with pytest.raises(ValueError):
+            audio.mix([(1, y, at, 1.0)], 100)
+    assert audio.corrected(x, 1.0, None, float("nan")) is x and (audio.corrected(x, 0.5, 3.0) == x * 0.5 * 3.0).all()
     b = io.BytesIO()
     with wave.open(b, "wb") as w:
         w.setnchannels(2), w.setsampwidth(1), w.setframerate(8000), w.writeframes(bytes([128, 228, 28, 128]))
@@ -111,6 +120,135 @@ def test_audio(spark, tmp_path):
     assert readers.wav_files(spark, str(tmp_path / "in")).first()["samples"] == [50 / 128, -50 / 128]
 
 
+def plain_view(row, events, rate, view):
+    """A view by the rules, a source at a time."""
+    target, included = row["target_index"], row["included_indices"]
+    out = np.zeros(int(4.0 * rate))
+    rivals = [i for i in included if i != target]
+    for i in included:
+        start = 1.0
+        if row["overlap"] != "full" and i != target:
+            early = (rivals.index(i) == 0) == (row["y_present"] == "A")
+            start = 0.25 if early else 1.75
+        if i != view["removed_index"]:
+            at = int(start * rate)
+            out[at : at + len(events[i])] += (row["target_gain"] if i == target else row["distractor_gain"]) * events[i]
+    for factor in (view["normalization_gain"], view["shared_safety_gain"]):
+        out = out if factor in (None, 1.0) else out * factor
+    return audio.encode(out, rate)
+
+
+def test_panels(spark, tmp_path):
+    """All rules of the panels against a plain version: stems, substitutes by design, other tuples' stems, copies."""
+    rng, rate = np.random.default_rng(3), 800
+    names = [f"audio_sources/stems/t{t}/subset_{bit}.wav" for t in "ab" for bit in ("001", "010", "100")]
+    stored = {ref: rng.uniform(-0.3, 0.3, 2 * rate + 40) for ref in names} | {"audio_sources/other.wav": rng.uniform(-0.2, 0.2, 2 * rate)}
+    gain = {ref: 0.5 + k / 8 for k, ref in enumerate(names)}
+    clips = spark.createDataFrame([(r, rate, x.tolist()) for r, x in stored.items()], "ref string, rate int, samples array<double>")
+    index = spark.createDataFrame(list(gain.items()), schemas.SOURCE_AUDIO)
+    stem = lambda t, e: stored[f"audio_sources/stems/t{t}/subset_{1 << e:03b}.wav"][20 : 20 + 2 * rate] / gain[f"audio_sources/stems/t{t}/subset_{1 << e:03b}.wav"]
+    for panel in ("baseline", "global_rms", "subst", "repair"):
+        rows, want = [], {}
+        for k, (overlap, answer, target, included) in enumerate((("full", "A", 0, [0, 1, 2]), ("partial", "A", 1, [0, 1, 2]), ("partial", "B", 2, [2, 0, 1]), ("partial", "B", 0, [0, 2]))):
+            row = {"condition_id": f"c{k}_snr5", "source_tuple_id": "tb", "overlap": overlap, "y_present": answer, "target_index": target, "included_indices": included, "target_gain": 0.75, "distractor_gain": 0.5}
+            row |= {"repair_target": ["ta", "1"], "repair_distractors": [["tb", "0"], ["ta", "2"]]}
+            events = [stem("b", e) for e in range(3)]
+            if panel == "subst":
+                events[target] = stored["audio_sources/other.wav"] * (1.5 + k)
+            elif panel == "repair":
+                events = [stem("a", 1), stem("b", 0), stem("a", 2)]
+            views = []
+            for removed in (None, *included):
+                view = {"intervention": "v", "removed_index": removed, "audio": f"{panel}/{k}_{removed}.wav", "normalization_gain": 0.9 if panel == "global_rms" else 1.0, "shared_safety_gain": None if removed else 0.8}
+                want[view["audio"]] = plain_view(row, events, rate, view)
+                views.append(view | {"audio_sha256": hashlib.sha256(want[view["audio"]]).hexdigest()})
+            rows.append(row | {"views": views})
+        schema = "condition_id string, source_tuple_id string, overlap string, y_present string, target_index int, included_indices array<int>, target_gain double, distractor_gain double, repair_target array<string>, repair_distractors array<array<string>>, views array<struct<intervention:string,removed_index:int,audio:string,audio_sha256:string,normalization_gain:double,shared_safety_gain:double>>"
+        manifest = spark.createDataFrame(rows, schema)
+        design = spark.createDataFrame([(f"c{k}", "audio_sources/other.wav", 1.5 + k) for k in range(4)], schemas.SUBST_DESIGN)
+        made = audio.render_panel(panel, manifest, clips, index, design)
+        assert {r.path: bytes(r.content) for r in made.collect()} == want
+        if panel == "subst":
+            with pytest.raises(Exception, match="no design row for c3_snr5"):
+                audio.render_panel(panel, manifest, clips, index, design.where("rid <> 'c3'")).collect()
+            with pytest.raises(Exception, match="digest"):
+                audio.render_panel("baseline", manifest, clips, index).collect()
+    with pytest.raises(AssertionError, match="no common rate"):
+        audio.render_panel("baseline", manifest, clips.unionByName(clips.limit(1).withColumn("rate", F.lit(9))), index)
+    files = spark.createDataFrame([(f"audio_sources/{p}", c) for p, c in want.items()], "ref string, content binary")
+    assert {r.path: bytes(r.content) for r in audio.copy_panel(manifest, files).collect()} == want
+    for bad in (files.where("ref not like '%0_None%'"), files.withColumn("content", F.lit(b"x"))):
+        with pytest.raises(Exception, match="no file, or another digest"):
+            audio.copy_panel(manifest, bad).collect()
+    assert [r.state for r in writers.addressed(made, str(tmp_path / "out")).collect()] == ["written"] * len(want)
+    assert {r.state for r in writers.addressed(made, str(tmp_path / "out"), True).collect()} == {"verified"}
+    with pytest.raises(Exception, match="repair"):
+        writers.addressed(made, str(tmp_path / "out")).collect()
+
+
+def test_small_audio_rules():
+    x = np.arange(1, 41, dtype=float)
+    assert audio.centre_crop(x, 2.0, 10).tolist() == x[10:30].tolist() and audio.centre_crop(x, 2.0, 100).tolist() == x.tolist()
+    assert audio.source_clip(x, 2.0, 10).tolist() == (x[10:30] / 2).tolist()
+    assert audio.envelope(np.array([0.0, -3, 1, 2]), 2).tolist() == [3.0, 2.0] and audio.envelope(np.array([1.0]), 3).tolist() == [1.0, 0.0, 0.0]
+    assert readers.decode_wav(audio.encode(np.array([0.5])), 32768)[1][0] == np.rint(0.5 * 32767) / 32768
+
+
+def test_release_contracts(spark, tmp_path):
+    files = spark.createDataFrame([("a", b"one", 3), ("b", b"two", 3), ("c", b"see /root/x", 200)], "path string, content binary, length long")
+    sums = spark.createDataFrame([("a", hashlib.sha256(b"one").hexdigest()), ("b", "0"), ("d", "1")], "path string, sha256 string")
+    assert sorted(r.path for r in contracts.checksum_mismatches(files, sums).collect()) == ["b", "c", "d"]
+    found = contracts.release_problems(files, text.sensitive(F.col("text")), 100)
+    assert [tuple(r) for r in found.collect()] == [("c", "oversized")] and contracts.release_problems(files, text.sensitive(F.col("text"))).first()[1] == "sensitive pattern"
+    own = text.own_places(("corp.example",), ("/mnt/data",))
+    checked = spark.createDataFrame([("x.corp.example",), ("/mnt/data/y",), ("corp example /mnt",)], "t string").select(text.sensitive(F.col("t"), own))
+    assert [r[0] for r in checked.collect()] == [True, True, False]
+    agree = spark.createDataFrame([(1, 1), (1, 2), (None, 2), (1, None)], "a int, b int").select(contracts.agrees_where_both(F.col("a"), F.col("b")))
+    assert [r[0] for r in agree.collect()] == [True, False, True, True]
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/bad.py").write_text("(")
+    (tmp_path / "good.py").write_text("x = 1")
+    (tmp_path / "bad.py").write_text("x = (")
+    (tmp_path / "link").symlink_to(tmp_path / "good.py")
+    assert contracts.tree_problems(str(tmp_path)) == [("bad.py", "syntax"), ("link", "symbolic link")]
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b")], "k int, m string")
+    contracts.assert_design(df, {"rows": 4, "k": 2, "m": 2}, "design")
+    contracts.assert_group_size(df, ["k"], 2, "groups")
+    for check in (lambda: contracts.assert_design(df, {"rows": 5}, "x"), lambda: contracts.assert_group_size(df.limit(3), ["k"], 2, "x")):
+        with pytest.raises(contracts.ContractError):
+            check()
+
+
+def test_ranks_and_quantiles_by_numpy(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(rng.integers(3)), i, float(rng.integers(8)), float(rng.integers(6)) if i % 9 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, id int, x double, y double")
+    for ties in (None, ["id"]):
+        a = {r.g: (r.rho, r.n) for r in stats.spearman(df, "x", "y", ["g"], ties).collect()}
+        b = {r.g: (r.rho, r.n) for r in stats.spearman_of_units(df, "x", "y", ["g"], ties).collect()}
+        assert a.keys() == b.keys() and all(a[g] == pytest.approx(b[g]) for g in a)
+    got = {r.g: r for r in stats.quantiles(df.withColumn("q", F.lit(0.37)), "x", ["g"], {"a": 0.05, "b": 1.0, "c": F.col("q")}).collect()}
+    for g in range(3):
+        own = [r[2] for r in rows if r[0] == g]
+        assert (got[g].a, got[g].b, got[g].c) == pytest.approx(tuple(np.percentile(own, [5, 100, 37])))
+
+
+def test_order_of_presentation(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "m string, n int")
+    assert [tuple(r) for r in units.in_order(df, "m", ("c", "a", "b")).collect()] == [("c", 3, 1), ("a", 1, 2), ("b", 2, 3)]
+    with pytest.raises(Exception, match="no place for b"):
+        units.in_order(df, "m", ("c", "a")).collect()
+
+
+def test_inverse_normal(spark):
+    from statistics import NormalDist
+
+    ps = [1e-300, 1e-12, 1e-6, 0.001, 0.02, 0.0749, 0.075, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, None, -1.0]], "p double").select("p", normal_quantile("p").alias("z")).collect()
+    assert [r.z for r in got[: len(ps)]] == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-13, abs=1e-15)
+    assert [r.z for r in got[len(ps) :]] == [None] * 4
+
+
 def test_sources_and_sinks(spark, tmp_path):
     row = {"condition_id": "c", "model_id": "m", "intervention": "full", "logp_present": -1.0, "logp_absent": -2.0, "margin": 1.0}
     for panel in ("p", "q"):
@@ -136,7 +274,12 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.json_lines(macros, str(tmp_path / "lines"))
     writers.json_result(macros, str(tmp_path / "r.json"))
     m = writers.RunManifest()
-    assert m.step("one", lambda: 5, (str(tmp_path / "r.json"),)) == 5 and m.steps[0]["code"] == 0
+    assert m.step("one", lambda: 5, (str(tmp_path / "r.json"),), (str(tmp_path / "doc.json"),)) == 5 and m.steps[0]["code"] == 0
+    assert list(m.steps[0]["inputs"]) == [str(tmp_path / "doc.json")] and len(m.steps[0]["outputs"]) == 1
+    (tmp_path / "m.jsonl").write_text('{"condition_id": "c", "views": []}\n')
+    assert readers.manifest(spark, str(tmp_path / "m.jsonl")) is readers.manifest(spark, str(tmp_path / "m.jsonl")) and readers.manifest(spark, str(tmp_path / "m.jsonl")).count() == 1
+    readers.release_kept()
+    assert not readers._kept
 
 
 def test_stream(spark, tmp_path):
