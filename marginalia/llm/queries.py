@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, chat, htmltext, imatch, media, packing, pii, quality, simhash, urlrules
+from marginalia.llm import bpe, chat, htmltext, imatch, media, negatives, packing, pii, quality, simhash, urlrules
 from marginalia.llm.common import table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -64,12 +64,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pack, op2_urls, op3_simhash, op4_bpe, op5_media, op6_chat, op7_pii, op8_imatch, op9_html, op10_quality, pipeline)
+    own = (op1_pack, op2_urls, op3_simhash, op4_bpe, op5_media, op6_chat, op7_pii, op8_imatch, op9_html, op10_quality, op13_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -121,7 +125,25 @@ FROM whole w JOIN firsts f ON w.conv_id = f.conv_id
 WHERE NOT EXISTS (SELECT 1 FROM lines l JOIN whole o ON l.conv_id = o.conv_id WHERE l.pos < o.n_turns AND l.prefix = w.prefix)
 """
 
+OP13_SQL = """
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM own a JOIN own c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id))::INT AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Whole-table SQL twins where SQL can express the operator; the others are held against brute force in tests/llm."""
-    return {"op2_urls": OP2_SQL, "op6_chat": OP6_SQL}
+    return {"op2_urls": OP2_SQL, "op6_chat": OP6_SQL, "op13_negatives": OP13_SQL}
