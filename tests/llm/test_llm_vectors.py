@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from marginalia.llm import negatives
+from marginalia.llm import ivfpq, negatives
 
 ROWS = "vec_id long, label int, embedding array<float>, norm string, key int"
 
@@ -88,3 +88,100 @@ def test_negatives_of_few_rows(spark):
     assert mined(table(spark, [])) == set()
     assert mined(table(spark, [(0, 1, [1.0])])) == set()
     assert mined(table(spark, [(100, 1, [1.0]), (1, 1, [1.0]), (2, 3, [0.5])])) == {(100, 1, 1, 2, 65536, 32768)}
+
+
+# --- near-duplicate vectors -------------------------------------------------------------------------------------------
+
+
+def crowded(seed=2, n=500, d=24):
+    """Unit noise, groups of near copies (one large), equal and scaled copies, and pairs close to the threshold."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (n, d)).astype(np.float32)
+    x[100:220] = x[0] + rng.normal(0, 0.1, (120, d))
+    x[220:260] = x[1] + rng.normal(0, 0.12, (40, d))
+    for i in range(260, 300):
+        x[i] = x[i - 120] + rng.normal(0, 0.22, d)
+    x[300:310], x[310] = x[2], 2 * x[2]
+    return [(int(i), 0, [float(v) for v in row]) for i, row in zip(rng.permutation(3 * n)[:n], x, strict=True)]
+
+
+def brute_links(rows, least=0.95):
+    kept = {}
+    for i, _, vec in rows:
+        if i is not None:
+            kept.setdefault(i, vec)
+    ok = {i: v for i, v in kept.items() if v is not None and any(v) and all(x is not None and math.isfinite(x) for x in v)}
+    ids, width = sorted(ok), max([len(v) for v in ok.values()], default=0)
+    x = np.array([list(ok[i]) + [0.0] * (width - len(ok[i])) for i in ids]).reshape(len(ids), width)
+    near = (x @ x.T) / np.outer(*[np.sqrt((x * x).sum(1))] * 2) >= least
+    np.fill_diagonal(near, False)
+    part = np.array(ids)
+    while True:
+        now = np.array([min([part[k], *part[near[k]]]) for k in range(len(ids))])
+        if (now == part).all():
+            break
+        part = now
+    out = {i: (0, i, True) for i in kept}
+    return out | {i: (int(near[k].sum()), int(part[k]), bool(part[k] == i)) for k, i in enumerate(ids)}
+
+
+def found_links(df, **how):
+    rows = ivfpq.near_vectors(df, **how).collect()
+    assert all((r.n_links, r.component_id, r.kept) == (0, None, False) for r in rows if r.vec_id is None)
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows if r.vec_id is not None}
+    assert len(out) == len([r for r in rows if r.vec_id is not None])
+    return out, len(rows)
+
+
+@pytest.mark.parametrize("how", [{}, {"list_rows": 20, "sigmas": 5}, {"list_rows": 1, "block": 7, "sigmas": 5}])
+def test_near_vectors_against_brute_force(spark, how):
+    """With so wide a margin as loses nothing in 24 dimensions, all links are found, whatever the lists and blocks."""
+    nan, width = float("nan"), 24
+    extra = [(9000, 0, None), (9001, 0, [nan] * width), (9002, 0, [0.0] * width), (9003, 0, []), (9004, 0, [1.0, None]), (9005, 1, [3.0]), (9006, 1, [5.0]), (None, 0, [1.0] * width)]
+    rows = [*crowded(), *extra]
+    rows.append(rows[3])
+    got, n = found_links(table(spark, rows), **how)
+    assert got == brute_links(rows) and n == len(rows) - 1
+    assert max(links for links, _, _ in got.values()) > 100
+
+
+def test_recall_of_near_vectors(spark):
+    """Short lists and the margin in use: at least 0.9 of links (all of them here), and none below the threshold."""
+    rows = crowded(seed=9, n=600, d=64)
+    got, _ = found_links(table(spark, rows), list_rows=12)
+    want = brute_links(rows)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(v[0] for v in got.values()) >= 0.99 * sum(v[0] for v in want.values())
+
+
+def test_codes_lose_no_neighbour():
+    """A vector within delta is never farther from a code than delta and the code's own error."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 13)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = ivfpq.Index.fit(x, 9)
+    lists, _ = index.places(x)
+    codes, lost = index.codes(x, lists)
+    for one in range(len(index.centres)):
+        own = lists == one
+        if own.any():
+            said = index.distances(x, one, codes[own])
+            true = np.linalg.norm(x[:, None] - x[own][None], axis=2)
+            assert (said <= true + lost[own] + 1e-4).all() and (said >= true - lost[own] - 1e-4).all()
+
+
+def test_upper_level_of_lists():
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (3000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = ivfpq.Index.fit(x, 400)
+    lists, asked = index.places(x, 0.1)
+    assert len(index.cells) == 20 and len(asked) == len(x) and all(a not in own for a, own in zip(lists, asked, strict=True))
+    assert (lists == ivfpq._nearest(x, index.centres)).mean() > 0.98
+
+
+def test_near_vectors_of_few_rows(spark):
+    assert found_links(table(spark, [])) == ({}, 0)
+    assert found_links(table(spark, [(4, 1, [0.0]), (5, 1, None)]))[0] == {4: (0, 4, True), 5: (0, 5, True)}
+    doubles = ROWS.replace("float", "double")
+    assert found_links(table(spark, [(7, 1, [1e300, 0.0]), (3, 1, [1e-300, 0.0]), (9, 1, [0.0, 1.0])], doubles))[0] == {3: (1, 3, True), 7: (1, 3, False), 9: (0, 9, True)}
