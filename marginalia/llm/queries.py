@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, chat, htmltext, imatch, ivfpq, media, negatives, packing, pii, quality, simhash, urlrules
+from marginalia.llm import bpe, chat, htmltext, imatch, ivfpq, media, negatives, packing, pii, quality, simhash, trie, urlrules
 from marginalia.llm.common import table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -68,6 +68,10 @@ def op11_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pack, op2_urls, op3_simhash, op4_bpe, op5_media, op6_chat, op7_pii, op8_imatch, op9_html, op10_quality, op11_ivfpq, op13_negatives, pipeline)
+    own = (op1_pack, op2_urls, op3_simhash, op4_bpe, op5_media, op6_chat, op7_pii, op8_imatch, op9_html, op10_quality, op11_ivfpq, op12_trie, op13_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -142,6 +146,38 @@ SELECT r.vec_id, coalesce(any_value(c.n), 0)::BIGINT AS n_links, min(r.other) AS
 FROM reached r LEFT JOIN counts c ON c.a = r.vec_id GROUP BY r.vec_id
 """
 
+# crc32 by its table; a prefix is the digests of its turns; subtrees go by the prefixes of each node's smallest member
+OP12_SQL = """
+WITH step AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS rest FROM range(256) t(i)
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS source, n,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id), step
+), built AS (
+  SELECT c.conv_id, pos + 1 AS depth, role, text FROM convs c JOIN turns t ON t.conv_id = c.source AND pos < h
+  UNION ALL
+  SELECT c.conv_id, pos - c.h + least(c.h, coalesce(b.n, 0)) + 1, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos >= c.h LEFT JOIN convs b ON b.conv_id = c.source
+), paths AS (
+  SELECT conv_id, depth, text, string_agg(md5(length(role)::VARCHAR || ':' || role || ':' || text), '/') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM built
+  UNION ALL SELECT conv_id, 0, '', '' FROM convs
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(strlen(text)) AS size, CASE WHEN depth = 1 THEN '' WHEN depth > 1 THEN left(path, length(path) - 33) END AS up
+  FROM paths GROUP BY path, depth
+), children AS (SELECT up, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up
+), kept AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.path = c.up
+), sums AS (
+  SELECT p.path, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((k.n_convs - 1) * k.size) AS saved FROM kept k JOIN paths p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY p.path
+), ends AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT * FROM paths QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY path
+)
+SELECT k.conv_id, k.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM kept k JOIN sums s USING (path) LEFT JOIN nodes u ON k.up = u.path LEFT JOIN ends e ON e.path = k.path
+"""
+
 OP13_SQL = """
 WITH own AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
@@ -163,4 +199,4 @@ QUALIFY rank <= 10
 
 def oracle_sql() -> dict[str, str]:
     """Whole-table SQL twins where SQL can express the operator; the others are held against brute force in tests/llm."""
-    return {"op2_urls": OP2_SQL, "op6_chat": OP6_SQL, "op11_ivfpq": OP11_SQL, "op13_negatives": OP13_SQL}
+    return {"op2_urls": OP2_SQL, "op6_chat": OP6_SQL, "op11_ivfpq": OP11_SQL, "op12_trie": OP12_SQL, "op13_negatives": OP13_SQL}
