@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.ranks import below, numbered
+
 
 def ordinal_rank(value: Column | str, ties: list[Column | str], partition: list[str] | None = None) -> Column:
     """Rank by sorted place; ties are told apart by the columns given."""
@@ -30,34 +32,32 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, ties: l
     return ranked.groupBy(*by).agg(F.corr(F.col("_x").cast("double"), F.col("_y").cast("double")).alias("rho"), F.count("*").alias("n"))
 
 
-def value_places(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, value, n, below: how many rows of the group have the value, and how many a smaller one. Rows are counted by value
-    before anything is ordered, so windows see a group's different values only."""
+def value_places(df: DataFrame, value: str, by: list[str], buckets: int | None = None) -> DataFrame:
+    """by, value, n, below, total: how many rows of the group have the value, how many a smaller one, and how many rows it has. Rows
+    are counted by value first; then the different values are placed in ranges, so no window holds those of a group."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+    return below(counts, F.col(value), F.col("n"), by, "below", buckets, "total")
 
 
-def spearman_of_units(df: DataFrame, x: str, y: str, by: list[str], ties: list[str] | None = None) -> DataFrame:
-    """spearman() for tables that grow with the data: ranks come from value_places, ties are numbered within their value."""
+def spearman_of_units(df: DataFrame, x: str, y: str, by: list[str], ties: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """spearman() for tables that grow with the data: average ranks come from value_places, ordinal ones from numbered ranges."""
     ranked = df
     for c, rank in ((x, "_x"), (y, "_y")):
-        places = value_places(df, c, by).withColumnsRenamed({"n": "_n", "below": "_below"})
-        ranked = ranked.join(places, [*by, c])
-        own = F.row_number().over(Window.partitionBy(*by, c).orderBy(*ties)) if ties else (F.col("_n") + 1) / 2.0
-        ranked = ranked.withColumn(rank, (F.col("_below") + own).cast("double")).drop("_n", "_below")
+        if ties:
+            ranked = numbered(ranked, [c, *ties], rank, by, buckets).withColumn(rank, F.col(rank) + 1.0)
+        else:
+            places = value_places(df, c, by, buckets).withColumnsRenamed({"n": "_n", "below": "_below"})
+            ranked = ranked.join(places, [*by, c]).withColumn(rank, F.col("_below") + (F.col("_n") + 1) / 2.0).drop("_n", "_below", "total")
     return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
-def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, Column | float]) -> DataFrame:
+def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, Column | float], buckets: int | None = None) -> DataFrame:
     """Exact quantiles, interpolated linearly, by group: a column for each share, which may itself be a column that is constant
     in df. Nulls do not count."""
     carried = {k: v for k, v in shares.items() if isinstance(v, Column)}
     own = df.where(F.col(value).isNotNull()).select(*by, value, *[v.alias(f"_q_{k}") for k, v in carried.items()])
     constant = [f"_q_{k}" for k in carried]
-    placed = value_places(own, value, [*by, *constant])
-    total = F.sum("n").over(Window.partitionBy(*by, *constant).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    placed = placed.withColumn("_last", total - 1)
+    placed = value_places(own, value, [*by, *constant], buckets).withColumn("_last", F.col("total") - 1)
     made = []
     for k, v in shares.items():
         at = (F.col(f"_q_{k}") if k in carried else F.lit(v)) * F.col("_last")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import audit, base, resampling, structure  # noqa: F401  they register themselves
+from marginalia.plans import answers, audit, base, resampling, sounds, structure  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text
 from marginalia.functions.normal import d_prime, normal_quantile
-from marginalia.operators import audio, cohorts, contracts, probes, resample, scorer, stats, units
+from marginalia.operators import audio, cohorts, contracts, probes, ranks, resample, scorer, stats, units
 from marginalia.sources import readers, schemas, writers
 from marginalia.streaming.verdicts import running_totals
 
@@ -290,3 +290,35 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("totals").collect()] == [("a", 2, 2, 1)]
+
+
+def test_split_places_of_one_group(spark):
+    """Continuous values in a single group: equal to numpy, and no range holds much over its share of them."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 1, 4000), rng.exponential(1, 4000)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id int, x double, y double")
+    got = stats.quantiles(df, "x", [], {"a": 0.025, "b": 0.5, "c": 0.999}, buckets=16).first()
+    assert tuple(got) == pytest.approx(tuple(np.percentile(x, [2.5, 50, 99.9])))
+    order = lambda v: np.argsort(np.argsort(v))
+    for ties in (None, ["id"]):
+        assert stats.spearman_of_units(df, "x", "y", [], ties, buckets=16).first()["rho"] == pytest.approx(np.corrcoef(order(x), order(y))[0, 1])
+    sizes = [r["count"] for r in ranks.bucketed(df, F.col("x"), 16).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * 4000 / 16
+
+
+def test_windows_of_places_are_by_range(spark):
+    """No window that orders values lies over a whole group: each has the range among its partition columns."""
+    df = spark.createDataFrame([(1, 2.0, 3)], "g int, x double, id int")
+    for made in (stats.quantiles(df, "x", ["g"], {"a": 0.5}), stats.spearman_of_units(df, "x", "x", ["g"], ["id"])):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+        assert windows and all("_bucket" in line.split("windowspecdefinition")[1] or "_n" in line for line in windows)
+        assert not [line for line in windows if "x#" in line.split("windowspecdefinition")[1].split("specified")[0] and "_bucket" not in line]
+
+
+def test_numbered_rows(spark):
+    rows = [(g, v, i) for i, (g, v) in enumerate([(1, 2.0), (1, None), (2, 2.0), (1, 2.0), (None, 1.0), (2, -1.0)])]
+    df = spark.createDataFrame(rows, "g int, v double, id int")
+    got = {r.id: r.at for r in ranks.numbered(df, ["v", "id"], "at", ["g"], buckets=3).collect()}
+    assert got == {0: 1, 1: 0, 2: 1, 3: 2, 4: 0, 5: 0}
+    assert ranks.numbered(df.limit(0), ["v"], "at").count() == 0
