@@ -34,12 +34,14 @@ def _rivals(indices: Column, target: Column) -> Column:
 
 def onsets(overlap: Column, y_present: Column, target: Column, indices: Column, rate: Column) -> Column:
     """Map of source index to the frame where it begins: all after the lead if they overlap in full; else the target does, and the
-    two rivals STAGGER earlier and later, the first one earlier where the present answer is A."""
+    two rivals STAGGER earlier and later, the first one earlier where the present answer is A. There is no place for a third rival,
+    which is an error when the query runs."""
     lead = F.floor(LEAD * rate)
     first = F.when(y_present == "A", -1).otherwise(1)
 
     def at(i: Column) -> Column:
-        sign = F.when(F.array_position(_rivals(indices, target), i) == 1, first).otherwise(-first)
+        third = F.raise_error(F.concat(F.lit("no onset for rival "), i.cast("string"))).cast("int")
+        sign = F.element_at(F.array(first, -first, third), F.least(F.array_position(_rivals(indices, target), i), F.lit(3)).cast("int"))
         return F.when((overlap == "full") | (i == target), lead).otherwise(F.floor((LEAD + STAGGER * sign) * rate)).cast("long")
 
     return F.map_from_arrays(indices, F.transform(indices, at))

@@ -1,12 +1,15 @@
 """Cluster bootstrap and permutation over a table of draws.
 
 Statistics are reduced to counts by cluster first; a draw then is a join of cluster numbers with those counts, whatever the
-number of units. Draws come from md5, which any engine computes alike, or from a PCG64 matrix.
+number of units. Draws come from md5, which any engine computes alike, or from a PCG64 generator that jumps ahead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +30,56 @@ def md5_draws(spark: SparkSession, clusters: int, draws: int = DRAWS, seed: int
     return ids.select("draw", "pos", F.pmod(md5_int(F.lit(seed), F.col("draw"), F.col("pos")), F.lit(clusters)).alias("cluster_idx"))
 
 
-def pcg64_draws(spark: SparkSession, clusters: int, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """draw, cluster_idx, multiplicity of numpy's default generator; a matrix of draws x clusters made on the driver."""
-    matrix = np.random.default_rng(seed).integers(0, clusters, (draws, clusters))
-    counts = np.zeros((draws, clusters), np.int64)
-    np.add.at(counts, (np.arange(draws)[:, None], matrix), 1)
-    d, c = np.nonzero(counts)
-    import pandas as pd
-
-    return spark.createDataFrame(pd.DataFrame({"draw": d, "cluster_idx": c, "multiplicity": counts[d, c]}))
+def _bounded(start: int, n: int, clusters: int, seed: int) -> np.ndarray:
+    """Numbers below clusters from 2 * n 32-bit words of numpy's default generator, from word 2 * start on: the low half of each
+    64-bit output, then the high one, times clusters, less those that the method rejects to be fair."""
+    words = np.random.PCG64(seed).advance(start).random_raw(n)
+    words = np.stack((words & np.uint64(0xFFFFFFFF), words >> np.uint64(32)), 1).ravel() * np.uint64(clusters)
+    fair = (words & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % clusters)
+    return (words[fair] >> np.uint64(32)).astype(np.int64)
+
+
+def pcg64_draws(spark: SparkSession, clusters: int, draws: int = DRAWS, seed: int = SEED, slice_outputs: int = 1 << 18) -> DataFrame:
+    """draw, cluster_idx, multiplicity of numpy's default generator, as default_rng(seed).integers(0, clusters, (draws, clusters)).
+
+    The generator can jump ahead, so each task makes slices of the stream by itself. A word is rejected once in 2^32 / clusters at
+    most; where that can happen, slices are counted first and the numbers of words they keep, one a slice, say where in the
+    matrix each slice begins.
+    """
+    if not 0 < clusters < 1 << 32:
+        raise ValueError(f"{clusters} clusters")
+    wanted = draws * clusters
+    if clusters == 1:  # no words are used
+        return spark.range(draws).select(F.col("id").alias("draw"), F.lit(0).cast("long").alias("cluster_idx"), F.lit(1).cast("long").alias("multiplicity"))
+    rejects = (1 << 32) % clusters
+    words = wanted + (wanted * rejects >> 32) * 2 + (64 if rejects else 0)  # enough, but for a chance that is checked
+    slices = -(-words // (2 * slice_outputs))
+    tasks = min(slices, max(spark.sparkContext.defaultParallelism, 1) * 4)
+    ids = spark.range(0, slices, 1, tasks)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "n": [len(_bounded(i * slice_outputs, slice_outputs, clusters, seed)) for i in batch["id"]]})
+
+    if rejects:
+        sizes = [r.n for r in ids.mapInPandas(counted, "id long, n long").orderBy("id").collect()]
+        if sum(sizes) < wanted:
+            raise RuntimeError("too many words were rejected")
+        first = [0, *np.cumsum(sizes)[:-1].tolist()]
+    else:
+        first = None
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"]:
+                values = _bounded(i * slice_outputs, slice_outputs, clusters, seed)
+                at = (first[i] if first else i * 2 * slice_outputs) + np.arange(len(values))
+                draw = at // clusters
+                keys, n = np.unique((draw * clusters + values)[draw < draws], return_counts=True)
+                yield pd.DataFrame({"draw": keys // clusters, "cluster_idx": keys % clusters, "multiplicity": n})
+
+    # a draw that two slices share is put together
+    return ids.mapInPandas(made, "draw long, cluster_idx long, multiplicity long").groupBy("draw", "cluster_idx").agg(F.sum("multiplicity").alias("multiplicity"))
 
 
 def indexed(counts: DataFrame, cluster: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import resample as R
 from marginalia.plans.base import checked, n_if, query
-from marginalia.plans.proxy import units
+from marginalia.plans.proxy import CTE, units
 from marginalia.plans.structure import Q1, Q5, _EIGHT, _IN, _MAPPED, _SUBST, _mapped, _ranked, paired_units
 from marginalia.plans.structure import _CAT
 
@@ -52,8 +53,41 @@ def boot_ratio(spark: S, d: str) -> DataFrame:
     return _rounded(R.cluster_bootstrap(_by_tuple(spark, d), "tuple", {"rankfail": ("num", "den")}))
 
 
-# the numbers of numpy's generator, which SQL cannot make; tested against numpy
-@query()
+# fixed values: the multiplier of the generator, and the sizes of its state and words
+PCG_MULTIPLIER, PCG_STATE, PCG_WORD = 0x2360ED051FC65DA44385DF649FCCF645, 1 << 128, 1 << 64
+
+
+def pcg_sql(doublings: int = 19) -> str:
+    """Common table expressions words: idx, w, the 32-bit words of 2^doublings outputs of numpy's default generator. States come by
+    doubling: those of outputs 0 to 2^r - 1, moved 2^r on, are those of the next 2^r. Products are made of 64-bit halves."""
+    state = np.random.PCG64(R.SEED).state["state"]
+    first, jumps, a, c = (state["state"] * PCG_MULTIPLIER + state["inc"]) % PCG_STATE, [], PCG_MULTIPLIER, state["inc"]
+    for r in range(doublings):
+        jumps.append((r, a >> 64, a % PCG_WORD, c >> 64, c % PCG_WORD))
+        a, c = a * a % PCG_STATE, (a + 1) * c % PCG_STATE
+    big = lambda x: f"'{x}'::UHUGEINT"
+    rows = ", ".join(f"({r}, {', '.join(map(big, own))})" for r, *own in jumps)
+    m, powers = big(PCG_WORD), ", ".join(big(1 << k) for k in range(65))
+    return f""", jumps(r, ahi, alo, chi, clo) AS (VALUES {rows}),
+states AS (
+  SELECT 0 AS r, 0::BIGINT AS n, {big(first >> 64)} AS hi, {big(first % PCG_WORD)} AS lo
+  UNION ALL
+  SELECT r + 1, n + far * (1::BIGINT << r), CASE far WHEN 0 THEN hi ELSE (nhi + chi + (nlo + clo) // {m}) % {m} END, CASE far WHEN 0 THEN lo ELSE (nlo + clo) % {m} END
+  FROM (SELECT s.*, j.chi, j.clo, (alo * lo) % {m} AS nlo, ((alo * lo) // {m} + (ahi * lo) % {m} + (alo * hi) % {m}) % {m} AS nhi FROM states s JOIN jumps j USING (r)), (VALUES (0), (1)) f(far)
+), mixed AS (SELECT n, (hi // {powers.split(", ")[58]})::INT AS rot, xor(hi, lo) AS x FROM states WHERE r = {doublings}
+), outputs AS (SELECT n, x // [{powers}][rot + 1] + (x * [{powers}][65 - rot]) % {m} AS v FROM mixed
+), words AS (SELECT 2 * n AS idx, (v % 4294967296)::UBIGINT AS w FROM outputs UNION ALL SELECT 2 * n + 1, (v // {big(1 << 32)})::UBIGINT FROM outputs)
+"""
+
+
+_PCG = f""", counts AS ({_BY_TUPLE}), numbered AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS cluster_idx FROM counts), k AS (SELECT count(*)::UBIGINT AS k FROM counts){pcg_sql()},
+fair AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, (w * k) >> 32 AS cluster_idx, k FROM words, k WHERE (w * k) % 4294967296 >= 4294967296 % k),
+drawn AS (SELECT idx // k AS draw, sum(num) AS num, sum(den) AS den FROM fair f JOIN numbered n ON n.cluster_idx = f.cluster_idx WHERE idx < {N} * k GROUP BY draw)
+"""
+
+
+# the numbers of numpy's generator
+@query(CTE.replace("WITH", "WITH RECURSIVE", 1) + _PCG + f"SELECT 'rankfail' AS name, (SELECT round(sum(num) / sum(den), 9) FROM counts) AS point, {ends('num / greatest(den, 1)')}, (SELECT sum(num)::BIGINT FROM counts) AS num, (SELECT sum(den)::BIGINT FROM counts) AS den FROM drawn", cte=False)
 def boot_pcg64(spark: S, d: str) -> DataFrame:
     counts = _by_tuple(spark, d)
     return _rounded(R.cluster_bootstrap(counts, "tuple", {"rankfail": ("num", "den")}, draws=R.pcg64_draws(spark, counts.count())))

@@ -322,3 +322,18 @@ def test_numbered_rows(spark):
     got = {r.id: r.at for r in ranks.numbered(df, ["v", "id"], "at", ["g"], buckets=3).collect()}
     assert got == {0: 1, 1: 0, 2: 1, 3: 2, 4: 0, 5: 0}
     assert ranks.numbered(df.limit(0), ["v"], "at").count() == 0
+
+
+@pytest.mark.parametrize(("clusters", "slice_outputs"), [(64, 100), (1, 100), (37, 50), (3_000_000_000, 7)])
+def test_pcg64_slices_are_numpys(spark, clusters, slice_outputs):
+    """Jumping ahead gives the same matrix, also where words are rejected (a third of them for the last size)."""
+    draws = 40 if clusters < 1000 else 0
+    if draws:
+        got = {(r.draw, r.cluster_idx): r.multiplicity for r in resample.pcg64_draws(spark, clusters, draws, seed=9, slice_outputs=slice_outputs).collect()}
+        want = {}
+        for d, own in enumerate(np.random.default_rng(9).integers(0, clusters, (draws, clusters)).tolist()):
+            for c in own:
+                want[d, c] = want.get((d, c), 0) + 1
+        assert got == want
+    parts = np.concatenate([resample._bounded(i * slice_outputs, slice_outputs, clusters, 9) for i in range(20)])
+    assert (parts == np.random.default_rng(9).integers(0, clusters, len(parts))).all()
