@@ -449,6 +449,50 @@ def test_parsing_by_the_template(spark):
     assert changed >= 5  # the template decides these pages
 
 
+def layouts(rng, host, n, words):
+    """Pages of a host without any telling name: elements and classes are drawn by lot, what surrounds the content varies from page
+    to page as the content does, and a heading stands beside or above the text. With each page its text."""
+    name = lambda: rng.choice(("div", "section", "center"))
+    cls = [f"{rng.choice('qxzvw')}{rng.randrange(10**6)}" for _ in range(8)]
+    tags = [name() for _ in range(8)]
+    box = lambda i, inner: f'<{tags[i]} class="{cls[i]}">{inner}</{tags[i]}>'
+    text = lambda lo, hi: " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi)))
+    deep, pages_ = rng.random() < 0.5, []
+    for k in range(n):
+        links = "".join(f'<li><a href="#{rng.randrange(99)}">{text(1, 9)}</a></li>' for _ in range(rng.randint(1, 40)))
+        blocks = [text(2, 80) for _ in range(rng.randint(1, 9))]
+        title, body = text(2, 9), "".join(f"<p>{b}</p>" for b in blocks)
+        inner = f"<h1>{title}</h1>" + (box(6, body) if deep else body)
+        if rng.random() < 0.6:
+            menu = "".join(f"<li><a href=#>{text(3, 30)}</a></li>" for _ in range(8))
+            inner += box(7, f"<ul>{menu}</ul>")  # a menu in the content
+        page_ = f"<html><body>{box(0, f'<ul>{links}</ul>')}{box(1, text(4, 12))}{box(2, inner)}{box(3, text(3, 14))}{box(4, text(1, 10))}</body></html>"
+        pages_.append((f"http://{host}/{k}", page_, "\n\n".join([title, *blocks])))
+    return pages_
+
+
+def test_slots_by_layouts(spark):
+    """Neither elements nor names say anything here, so what is content is told by the host's slots alone; a plain reading of the
+    paths has none of these pages right."""
+    rng = random.Random(12)
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(3000)]
+    rows = [r for h in range(8) for r in layouts(rng, f"h{h}.com", 30, words)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract_pages(df, elements=False, names=False).collect()}
+    right = [got[i] == text for i, (_, _, text) in enumerate(rows)]
+    assert sum(right) >= 0.95 * len(rows) and not any(htmltext.extract(h) == text for _, h, text in rows)
+
+
+def test_names_of_the_templates_elements(spark):
+    """An element of every page that is called comments goes, however long; one that an article calls so stays."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    own = [(say(12), say(60)) for _ in range(12)]
+    rows = [(k, "http://a.com/x", f'<html><body><div class="q"><h1>{a}</h1><p class="{"comment" if k == 5 else "z"}">{a} once more</p><div class="comments"><p>{b}</p></div></div></body></html>') for k, (a, b) in enumerate(own)]
+    got = {r.page_id: r.text for r in htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{a}\n\n{a} once more" for k, (a, _) in enumerate(own)}
+
+
 def test_urls(spark):
     urls = ["http://A.com/en/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "https://m.www.example.com/en/", "http://x.net/es/1", "http://x.net/esx", "net/es/", None, "http://net/fr/#a", "http://casino.org/a", "http://casinoss.org/a", "http://cheap-pills.org", "http://cheap.org/cheap", "x://h?p://y", "http://a.com", ""]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x"), (None, "http://b.com/", "y")], "page_id long, url string, host string")
