@@ -1,13 +1,20 @@
 """Personal data: patterns for protected entities, and information-theoretic sanitisation of the terms that reveal them.
 
 Entities are e-mail addresses, IP addresses, card numbers and phone numbers, and what these share: e-mail domains, the first
-digits of numbers, kinds. So a term counts where single mentions do not recur. A term is a word of a text that has an entity's
-mention. From counts over the whole corpus, in rows: how strongly term t reveals entity e is their pointwise mutual information
-over the entity's information content, log(N c(t,e) / (c(t) c(e))) / log(N / c(e)), which is 1 if t never stands without e.
-Terms at or over DISCLOSURE become spans as well, wherever they stand in any text, if chance is ruled out: c(t,e) rows that
-share what they have by chance are as unlikely as 2^-(c(t,e) * mutual information), and that must be CHANCE_BITS below one in N
-rows. So no number of rows is set; one row can never be enough. In sanitised texts entities are generalised to their kind and
-such terms are removed.
+digits of numbers, kinds. So a term counts where single mentions do not recur. A term is a word (letters and digits, of any
+length) of a text that has an entity's mention.
+
+Evidence is counted in origins, not in rows: texts with mentions that are copies or near copies of each other (they share two
+neighbouring bands of least values of their five-word shingles, directly or by others) are one origin, so a text is no evidence for itself however
+often it was copied. How strongly term t reveals entity e is their pointwise mutual information over the entity's information
+content, log(N c(t,e) / (c(t) c(e))) / log(N / c(e)), which is 1 if t never stands without e; N are the rows, c(e) and c(t,e)
+origins, and c(t) the origins plus the rows without mentions that have t. Terms at or over DISCLOSURE become spans as well,
+wherever they stand in any text, if chance is ruled out: c(t,e) origins that share what they have by chance are as unlikely as
+2^-(c(t,e) * mutual information), and that must be CHANCE_BITS below one in N rows. So no number of rows is set; one origin can
+never be enough. In sanitised texts entities are generalised to their kind and such terms are removed.
+
+Only terms whose count is within reach of DISCLOSURE, by their own counts, are paired with entities; entities that have the same
+origins are one for this, and so are such terms. So a text of many mentions and words of its own makes one pair, not all.
 """
 
 from __future__ import annotations
@@ -16,12 +23,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import fresh, join_hubs, small_batches, stash
+from marginalia.llm.components import components
+from marginalia.llm.simhash import WIDE_SHINGLE, band_keys, shingle_hashes
 
 #: A term leaves at most a hundredth of the entity's information open.
 DISCLOSURE = 0.99
@@ -31,6 +40,8 @@ CHANCE_BITS = 10
 SENT_TERMS = 200_000
 #: First digits of a card number and of a phone number that stand for those that share them.
 CARD_DIGITS, PHONE_DIGITS = 4, 4
+#: How far apart the bands of a key may be; an odd factor, which mixes them.
+NEIGHBOURS, _FACTOR = 3, np.uint64(0x9E3779B97F4A7C15)
 #: Different terms that a task counts before it hands the counts on.
 COUNTED = 200_000
 
@@ -42,7 +53,7 @@ _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\W\d_]{4,}")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -117,6 +128,11 @@ def entities(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
     return out
 
 
+def words(text: str) -> set[str]:
+    """All terms of a text, in spans or not."""
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
 def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of the words that lie in no span."""
     taken = merge(spans)
@@ -128,16 +144,26 @@ def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[s
             yield m[0].lower(), m.start(), m.end()
 
 
+def origin_keys(text: str) -> np.ndarray:
+    """Keys of any two bands of least values that are NEIGHBOURS apart at most, in a ring. At a similarity of 0.8 about ten of the 24
+    bands are shared, so that two such are; texts that share a tenth share no two (1 in 10^6)."""
+    bands = band_keys(np.unique(shingle_hashes(text, WIDE_SHINGLE)))
+    pairs = [(bands * _FACTOR + np.roll(bands, -d)) * _FACTOR + np.uint64(d) for d in range(1, NEIGHBOURS + 1)]
+    return np.concatenate(pairs).view(np.int64)
+
+
 _SEEN = {"what": pa.int32(), "row": pa.int64(), "entity": pa.string(), "term": pa.string(), "n": pa.int64()}
 _SEEN_DDL = "what int, row long, entity string, term string, n long"
-_ROWS, _ENTITY, _WITH, _TERM = range(4)
+_ROWS, _ENTITY, _WITH, _TERM, _BAND = range(5)
 
 
 def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over the texts: how many they are, a row for each entity of a text and for each term of a text that has
-    entities, and partial counts of the rows that have a term. Texts are numbered."""
+    """One pass over the texts: how many they are; for a text that has entities, a row for each of them, for each term (n: whether
+    it stands in no span) and for each band; and partial counts of the other texts that have a term. Such a text is named by two
+    hashes in one, so copies are one."""
+    import xxhash
+
     counts: Counter[str] = Counter()
-    row = TaskContext.get().partitionId() << 40
 
     def made(what: int, size: int, **columns: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([what] * size, pa.int32()), *(pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in list(_SEEN.items())[1:])], list(_SEEN))
@@ -154,13 +180,15 @@ def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             text = text.as_py() or ""
             spans = base_spans(text)
-            row += 1
-            if spans:
-                found, terms = sorted(entities(text, spans)), sorted({t for t, _, _ in free_words(text, spans)})
+            if not spans:
+                counts.update(words(text))
+            else:
+                row = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                found, free, every = sorted(entities(text, spans)), {t for t, _, _ in free_words(text, spans)}, sorted(words(text))
+                bands = origin_keys(text).tolist()
                 yield made(_ENTITY, len(found), row=[row] * len(found), entity=found)
-                if terms:
-                    yield made(_WITH, len(terms), row=[row] * len(terms), term=terms)
-            counts.update(set(_WORD.findall(text.lower())))
+                yield made(_WITH, len(every), row=[row] * len(every), term=every, n=[int(t in free) for t in every])
+                yield made(_BAND, len(bands), row=[row] * len(bands), n=bands)
             if len(counts) > COUNTED:
                 yield from counted()
     yield from counted()
@@ -171,54 +199,81 @@ def _seen(docs: DataFrame) -> DataFrame:
     return stash(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_see, _SEEN_DDL), "seen")
 
 
-def _disclosing(seen: DataFrame, disclosure: float, chance_bits: float) -> DataFrame:
-    """entity, term, strength, n_term (the term's rows)."""
-    n = seen.groupBy("what").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
-    n = {r["what"]: r for r in n}
-    total, n_mentions = float(max(n[_ROWS]["n"] if _ROWS in n else 0, 1)), n[_ENTITY]["k"] if _ENTITY in n else 0
-    mentions = seen.where(F.col("what") == _ENTITY).select("row", "entity")
-    # a pair in one row has at most log2(N) bits, so entities of one row and pairs in one row need not be carried
-    found = stash(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") > 1) & (F.col("n_entity") < total)), "entities")
-    own = join_hubs(mentions, found.withColumn("k", F.col("n_entity")), "entity", "k", n_mentions)
-    beside = seen.where(F.col("what") == _WITH).select("row", "term")
-    pairs = stash(own.join(beside, "row").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("both")).where("both > 1"), "pairs")
-    counts = seen.where(F.col("what") == _TERM).groupBy("term").agg(F.sum("n").alias("n_term"))
-    counts = counts.join(pairs.groupBy("term").agg(F.count("*").alias("k")), "term")
+def _origins(seen: DataFrame) -> DataFrame:
+    """row, origin of the texts that have copies other than exact ones; an origin is named by one of its texts."""
+    bands = stash(seen.where(F.col("what") == _BAND).select("row", F.col("n").alias("key")).distinct(), "bands")
+    firsts = bands.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("k")).where("k > 1")
+    edges = join_hubs(bands, firsts, "key", "k", bands.count()).where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
+    return components(edges).select(F.col("node").alias("row"), F.col("component").alias("origin"))
+
+
+def _alike(rows: DataFrame, what: str, extra: list[str]) -> DataFrame:
+    """what, same, n of rows (origin, what, ...): things that have the same origins (and extra columns) share `same`, one of them."""
+    marks = stash(rows.groupBy(what, *extra).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("origin")).alias("m1"), F.bit_xor(F.xxhash64(F.lit("second"), "origin")).alias("m2")), "marks")
+    same = marks.groupBy("n", "m1", "m2", *extra).agg(F.min(what).alias("same"), F.count("*").alias("k"))
+    return join_hubs(marks.withColumn("mark", F.struct("n", "m1", "m2", *extra)).drop("m1", "m2"), same.select(F.struct("n", "m1", "m2", *extra).alias("mark"), "same", "k"), "mark", "k", marks.count())
+
+
+def _disclosing(seen: DataFrame, disclosure: float, chance_bits: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entity, term, strength of things that stand for their likes; and what is like them: (entity, same), (term, same, n_term)."""
+    total = float(max(seen.where(F.col("what") == _ROWS).agg(F.sum("n")).first()[0] or 0, 1))
+    origins = stash(_origins(seen), "origins")
+    of = lambda what: seen.where(F.col("what") == what).join(origins, "row", "left").withColumn("origin", F.coalesce("origin", "row"))
+    mentions = stash(of(_ENTITY).select("origin", "entity").distinct(), "mentions")
+    beside = stash(of(_WITH).groupBy("origin", "term").agg(F.max("n").alias("free")), "beside")
+    # a pair in one origin has at most log2(N) bits, so entities of one origin and pairs in one need not be carried
+    known = stash(_alike(mentions, "entity", []).where((F.col("n") > 1) & (F.col("n") < total)), "entities")
+    there = beside.groupBy("term").agg(F.sum("free").alias("free"), F.count("*").alias("n")).where("free > 1")
+    others = seen.where(F.col("what") == _TERM).groupBy("term").agg(F.sum("n").alias("more"))
+    reach = total ** (1 - disclosure) * (1 + 1e-9)
+    counts = there.join(others, "term", "left").select("term", "free", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_term")).where(F.col("n_term") <= F.col("free") * reach)
+    counts = stash(counts, "counts")
+    free = join_hubs(beside.where("free = 1").select("origin", "term"), counts.withColumn("k", F.col("free")).drop("free"), "term", "k", beside.count())
+    free = stash(free, "free")
+    terms = stash(_alike(free, "term", ["n_term"]).select("term", "same", "n_term"), "likes")
+    # what stands for its likes, by origin
+    e = known.where("entity = same").select("entity", F.col("n").alias("n_entity"))
+    own = join_hubs(mentions, e.withColumn("k", F.col("n_entity")), "entity", "k", mentions.count())
+    with_ = free.join(terms.where("term = same").select("term"), "term", "left_semi")
+    pairs = own.join(with_, "origin").groupBy("entity", "n_entity", "term", "n_term").agg(F.count("*").alias("both")).where("both > 1")
     information = F.log2(F.lit(total) / F.col("n_entity"))
     reveals = F.log2(F.lit(total) * F.col("both") / (F.col("n_term") * F.col("n_entity").cast("double")))
-    joined = join_hubs(pairs, counts, "term", "k", pairs.count())
-    joined = joined.where(F.col("both") * reveals >= F.lit(chance_bits) + F.log2(F.lit(total)))
-    return joined.select("entity", "term", (reveals / information).alias("strength"), "n_term").where(F.col("strength") >= disclosure)
+    found = pairs.where(F.col("both") * reveals >= F.lit(chance_bits) + F.log2(F.lit(total)))
+    found = found.select("entity", "term", (reveals / information).alias("strength")).where(F.col("strength") >= disclosure)
+    return stash(found, "disclosing"), known.select("entity", "same"), terms
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, chance_bits: float = CHANCE_BITS) -> DataFrame:
     """entity, term, strength of the terms that disclose an entity in documents (text).
 
-    A null text is empty; repeated rows count as often as they stand there; other columns are not read; an empty table has
-    no terms.
+    A null text is empty; repeated rows and near copies with mentions are one origin, other rows count as often as they stand
+    there; other columns are not read; an empty table has no terms.
     """
-    return _disclosing(_seen(docs), disclosure, chance_bits).drop("n_term")
+    found, same_entity, same_term = _disclosing(_seen(docs), disclosure, chance_bits)
+    found = found.withColumnsRenamed({"entity": "e", "term": "t"})
+    found = found.join(same_entity.select("entity", F.col("same").alias("e")), "e").join(same_term.select("term", F.col("same").alias("t")), "t")
+    return found.select("entity", "term", "strength")
 
 
 def _with_terms(docs: DataFrame, sent: int) -> tuple[DataFrame, frozenset[str] | None, str | None]:
     """docs and the disclosing terms to look for: all of them if they are `sent` at most, else none and the name of a column that
     docs has got, with each row's own."""
     seen = _seen(docs)
-    terms = stash(_disclosing(seen, DISCLOSURE, CHANCE_BITS).groupBy("term").agg(F.max("n_term").alias("n_term")), "terms")
+    found, _, same_term = _disclosing(seen, DISCLOSURE, CHANCE_BITS)
+    terms = stash(same_term.join(found.select(F.col("term").alias("same")).distinct(), "same", "left_semi").select("term", "n_term"), "terms")
     if terms.count() <= sent:
         return docs, frozenset(r["term"] for r in terms.select("term").collect()), None
     row, own = fresh("_row", docs), fresh("_terms", docs)
     numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = sorted(set(_WORD.findall((text.as_py() or "").lower())))
+                found = sorted(words(text.as_py() or ""))
                 yield pa.RecordBatch.from_arrays([pa.array([at] * len(found), pa.int64()), pa.array(found, pa.string())], ("row", "term"))
 
-    every = numbered.select(F.col(row), F.col("text").cast("string")).mapInArrow(words, "row long, term string")
-    total = int(seen.where(F.col("what") == _TERM).agg(F.sum("n")).first()[0])
-    found = join_hubs(every, terms, "term", "n_term", total).groupBy(F.col("row").alias(row)).agg(F.collect_list("term").alias(own))
+    rows = stash(numbered.select(F.col(row), F.col("text").cast("string")).mapInArrow(every, "row long, term string"), "words")
+    found = join_hubs(rows, terms, "term", "n_term", rows.count()).groupBy(F.col("row").alias(row)).agg(F.collect_list("term").alias(own))
     return numbered.join(found, row, "left").drop(row), None, own
 
 
@@ -231,7 +286,7 @@ def find_personal_data(docs: DataFrame, sent: int = SENT_TERMS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term: a row for each row of documents.
 
     spans lists all spans as kind:start:end (code points, end exclusive), the kinds as listed, then the disclosing terms. A
-    null text is empty; null ids and repeated rows pass through (repeated rows count as often as they stand there); other
+    null text is empty; null ids and repeated rows pass through; other
     columns are not carried; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

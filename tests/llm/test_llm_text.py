@@ -239,9 +239,11 @@ def test_sanitised_texts(spark, sent):
 
 
 def test_terms_anywhere_in_any_text(spark):
-    """A term far from the mention counts, and goes wherever it stands, in texts without an entity too."""
+    """A term far from the mention counts, and goes wherever it stands, in texts without an entity too. The texts are different ones:
+    copies are no evidence."""
     far = "common words here " * 40
-    texts = [f"zorgblatt {far} mail bob@mail.example.com {far} zorgblatt" for _ in range(60)]
+    own = lambda k: " ".join(f"{w}{k}" for w in ("common", "words", "here", "of", "this", "text", "alone"))
+    texts = [f"zorgblatt {own(i)} {far} mail bob@mail.example.com {own(i)} {far} zorgblatt" for i in range(60)]
     texts += [f"{far} without number" for _ in range(500)] + ["common words of Zorgblatt here"]
     got = {r.doc_id: r for r in pii.find_personal_data(docs(spark, texts)).collect() if r.doc_id is not None}
     for i in (*range(1, 60), 560):
@@ -282,7 +284,17 @@ def test_terms_by_brute_force(spark, monkeypatch, disclosure, bits, hubs):
                     words.append(name.upper())
         texts.append(" ".join(words))
     texts += [None, "", texts[0], texts[0]]
-    rows = []
+    long = [" ".join(f"copied{j}" for j in range(60)) + f" {k} p0@a.org copyword" for k in range(6)]  # near copies: one origin
+    texts += long
+    # origins of texts with mentions: whatever texts share a key, directly or by others
+    keys = {t: set(pii.origin_keys(t).tolist()) for t in texts if brute_spans(t or "")}
+    origin = {t: t for t in keys}
+    for _ in keys:
+        for t in keys:
+            origin[t] = min(origin[u] for u in keys if keys[t] & keys[u])
+    assert len({origin[t] for t in long}) == 1 and len(set(origin.values())) < len(keys)
+    c_e, c_t, both = {}, {}, {}
+    outside = Counter()
     for t in texts:
         base, found = brute_spans(t or ""), set()
         for kind, a, e in base:
@@ -291,8 +303,19 @@ def test_terms_by_brute_force(spark, monkeypatch, disclosure, bits, hubs):
             share = {"email": "*@" + own.split("@")[-1], "ip": ".".join(own.split(".")[:2]) + ".*", "card": digits[:4] + "*", "phone": digits[:4] + "*"}[kind]
             found |= {own, f"{kind}:{share}", f"{kind}:*"}
         blank = "".join(" " if any(a <= i < e for _, a, e in base) else c for i, c in enumerate(t or ""))
-        rows.append((found, {w.lower() for w in re.findall(r"[^\W\d_]{4,}", blank)}, {w.lower() for w in re.findall(r"[^\W\d_]{4,}", t or "")}))
-    n, c_e, c_t, both = len(rows), Counter(e for f, _, _ in rows for e in f), Counter(w for _, _, every in rows for w in every), Counter((e, w) for f, free, _ in rows for e in f for w in free)
+        terms, free = ({w.lower() for w in re.findall(r"[^\W_]+", x)} for x in (t or "", blank))
+        if not base:
+            outside.update(terms)
+            continue
+        for e in found:
+            c_e.setdefault(e, set()).add(origin[t])
+        for w in terms:
+            c_t.setdefault(w, set()).add(origin[t])
+        for e in found:
+            for w in free:
+                both.setdefault((e, w), set()).add(origin[t])
+    n, c_e, both = len(texts), {e: len(x) for e, x in c_e.items()}, {k: len(x) for k, x in both.items()}
+    c_t = {w: len(x) + outside[w] for w, x in c_t.items()}
     want = {}
     for (e, w), k in both.items():
         if k > 1:
@@ -301,3 +324,34 @@ def test_terms_by_brute_force(spark, monkeypatch, disclosure, bits, hubs):
                 want[e, w] = mutual / information
     got = {(r.entity, r.term): r.strength for r in pii.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string"), disclosure, bits).collect()}
     assert got.keys() == want.keys() and len(want) > 1 and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert not {t for _, t in got} & {"copyword"}
+
+
+def test_copies_are_no_evidence(spark):
+    """A word beside a number in one text only, in copies and near copies of it: no term. The same in different texts is one."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    base = say(80)
+    copies = [f"{base} {'x' if k % 3 else say(1)} secretname 10.20.30.{k % 2}" for k in range(40)]
+    other = [f"{say(80)} nothing of note" for _ in range(300)]
+    assert not [r for r in pii.disclosing_terms(docs(spark, copies + other)).collect()]
+    planted = [f"{say(40)} Li and İstanbulcode and R2 at 10.20.30.{k % 2} {say(40)}" for k in range(12)]
+    found = {r.term for r in pii.disclosing_terms(docs(spark, planted + other)).collect()}
+    assert found == {"li", "and", "i\u0307stanbulcode", "r2", "at"}  # of any length, with digits, and letters that lower-casing parts
+    got = pii.sanitise(docs(spark, planted + copies + other)).collect()
+    assert all("İstanbulcode" not in r.text and " R2 " not in r.text for r in got) and sum("secretname" in r.text for r in got) == 40
+
+
+def test_many_mentions_and_words_make_one_pair(spark):
+    """A text of many mentions and many words of its own, twice: all have the same origins, so one pair stands for all."""
+    rng = random.Random(7)
+    words = [f"own{k}" for k in range(3000)]
+    mentions = [f"u{k}@m{k}.example.org" for k in range(1500)]
+    texts = []
+    for _ in range(2):
+        rng.shuffle(words)
+        rng.shuffle(mentions)
+        texts.append(" ".join([*words, *mentions]))
+    texts += ["nothing here"] * 60_000
+    found, _, terms = pii._disclosing(pii._seen(docs(spark, texts).repartition(4)), 0.99, 10)
+    assert found.count() <= 3 and {r.term for r in terms.collect()} >= set(words)
