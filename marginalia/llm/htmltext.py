@@ -101,11 +101,17 @@ class Step(NamedTuple):
     named: bool = False
 
 
+@lru_cache(200_000)
+def _path(path: int, label: str) -> int:
+    """The path below, a hash; a host's pages have the same ones over and over."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{path}/{label}".encode("utf-8", "surrogatepass"))
+
+
 def walk(page: str, names: bool = True, elements: bool = True) -> Iterator[Step]:
     """Tags and text segments in page order, from tags that need not be closed or nested well. names: furniture goes by roles, class
     names and ids too, and headers outside the main text are furniture; elements: it goes by elements."""
-    import xxhash
-
     stack: list[tuple[str, int, bool, bool]] = []  # name, path, furniture, main
     path = 0
     at, size = 0, len(page)
@@ -114,7 +120,7 @@ def walk(page: str, names: bool = True, elements: bool = True) -> Iterator[Step]
         return stack[-1][2:] if stack else (False, False)
 
     def below(label: str) -> int:
-        return xxhash.xxh64_intdigest(f"{path}/{label}".encode("utf-8", "surrogatepass"))
+        return _path(path, label)
 
     while at < size:
         lt = page.find("<", at)
@@ -166,10 +172,13 @@ def walk(page: str, names: bool = True, elements: bool = True) -> Iterator[Step]
         label = f"{name}.{given['class']}" if given.get("class") else name
         furniture, main = state()
         furniture = furniture or elements and name in _FURNITURE or name in _NO_TEXT
-        named = given.get("role", "").lower() in _ROLES or given.get("aria-hidden", "") == "true"
-        named = bool(given) and (named or any(names_furniture(given[k]) for k in ("class", "id") if given.get(k)) and name not in ("html", "body", "article", "main"))
+        named = False
+        if given:
+            named = given.get("role", "").lower() in _ROLES or given.get("aria-hidden", "") == "true"
+            named = named or any(names_furniture(given[k]) for k in ("class", "id") if given.get(k)) and name not in ("html", "body", "article", "main")
+            main = main or given.get("role", "").lower() == "main"
         furniture = furniture or names and (named or name == "header" and not main)
-        main = main or name in _MAIN or given.get("role", "").lower() == "main"
+        main = main or name in _MAIN
         yield Step("open", name, path, label, furniture, main, block, len(stack), named)
         if name in _VOID or rest.endswith("/"):
             continue
@@ -193,11 +202,23 @@ def token(step: Step) -> str | None:
     return f"{step.path}|{step.kind}:{step.text or step.name}"
 
 
-def token_hash(step: Step) -> int | None:
+def _hash(text: str, is_text: bool) -> int:
+    """64 bits; the last one says whether it is a text segment's."""
     import xxhash
 
+    return (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)) & -2 | is_text
+
+
+@lru_cache(200_000)
+def _tag_hash(path: int, kind: str, label: str) -> int:
+    return _hash(f"{path}|{kind}:{label}", False)
+
+
+def token_hash(step: Step) -> int | None:
+    if step.kind != "text":
+        return _tag_hash(step.path, step.kind, step.text or step.name)
     text = token(step)
-    return None if text is None else xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return None if text is None else _hash(text, True)
 
 
 class Slot(NamedTuple):
@@ -224,15 +245,16 @@ class Template:
         for cls, _, own in sorted(rows):
             self.place[own] = cls, self.size.get(cls, 0)
             self.size[cls] = self.size.get(cls, 0) + 1
+        self.has_texts = any(own & 1 for own in self.place)
         self.content, self.dropped, self.outside = _judged(slots or [], frozenset(t for t, (c, _) in self.place.items() if c == root))
 
-    def holds(self, element: int) -> bool:
-        """Whether this is the content, or holds it."""
-        return element in self.outside
-
     def __bool__(self) -> bool:
         return bool(self.place)
 
+    def tokens(self, steps: list[Step]) -> list[int | None]:
+        """The steps' tokens; those of text segments only where the template has any."""
+        return [None if s.kind == "text" and not self.has_texts else token_hash(s) for s in steps]
+
     def parse(self, tokens: list[int | None]) -> list[bool]:
         """Which of a page's tokens are the template's: those of whole occurrences, in order and nested."""
         known = [False] * len(tokens)
@@ -310,16 +332,18 @@ class _Inside:
         self.template, self.names, self.held, self.called = template, names, [], []
 
     def at(self, step: Step, own: int | None, known: bool) -> tuple[list[tuple[int, int]], bool]:
-        for open_ in (self.held, self.called):
-            while open_ and open_[-1][0] >= step.depth:
-                open_.pop()
-        now, called = list(self.held) if step.kind == "open" else self.held, bool(self.called)
+        """For a text segment; others only move on."""
+        depth, held, called = step.depth, self.held, self.called
+        while held and held[-1][0] >= depth:
+            held.pop()
+        while called and called[-1][0] >= depth:
+            called.pop()
         if known and step.kind == "open" and step.name not in _VOID:
-            self.held.append((step.depth, own))
             # the content itself, and what holds it, may have any name
-            if self.names and step.named and (self.template.content in (e for _, e in now) or not self.template.holds(own)):
-                self.called.append((step.depth, own))
-        return now, called
+            if self.names and step.named and (any(e == self.template.content for _, e in held) or own not in self.template.outside):
+                called.append((depth, own))
+            held.append((depth, own))
+        return held, bool(called)
 
 
 NO_TEMPLATE = Template([])
@@ -330,15 +354,18 @@ def extract(page: str | None, template: Template = NO_TEMPLATE, elements: bool =
     page = page or ""
     if template:
         steps = list(walk(page, False, elements))
-        tokens = [token_hash(s) for s in steps]
+        tokens = template.tokens(steps)
         known = template.parse(tokens)
         if template.content == 0 or any(k and t == template.content for k, t in zip(known, tokens, strict=True)):
             inside = _Inside(template, names)
             wanted = []
             for step, own, is_known in zip(steps, tokens, known, strict=True):
                 held, called = inside.at(step, own, is_known)
-                held = [e for _, e in held]
-                wanted.append(not called and (not template.content or template.content in held) and not template.dropped.intersection(held))
+                if step.kind != "text" or called:
+                    wanted.append(False)
+                    continue
+                elements_ = [e for _, e in held]
+                wanted.append((not template.content or template.content in elements_) and not (template.dropped and template.dropped.intersection(elements_)))
             blocks = _slot_blocks(steps, known, wanted)
             return "\n\n".join(blocks)
     return "\n\n".join(_blocks(list(walk(page, names, elements))))
@@ -443,7 +470,7 @@ def _slots(batches: Iterator[pa.RecordBatch], elements: bool, names: bool) -> It
             own = sets[host] if host in sets else _held(sets, host, *(x.as_py() for x in template))
             page = page.as_py()
             steps = list(walk(page or "", False, elements))
-            tokens = [token_hash(s) for s in steps]
+            tokens = own.tokens(steps)
             inside, links, headings = _Inside(own, names), [], []
             found: dict[tuple[int, int], list] = {}
             for step, token_, known in zip(steps, tokens, own.parse(tokens), strict=True):
@@ -453,7 +480,7 @@ def _slots(batches: Iterator[pa.RecordBatch], elements: bool, names: bool) -> It
                 held, called = inside.at(step, token_, known)
                 if step.kind == "open" and step.name in ("a", "h1"):
                     (links if step.name == "a" else headings).append(step.depth)
-                if step.kind == "text" and not known and not called and not step.furniture and (text := " ".join(html.unescape(step.text).split())):
+                if step.kind == "text" and not known and not called and not step.furniture and (text := step.text.strip()):
                     chain = [0, *(e for _, e in held)]
                     for at in range(len(chain) - 2, 0, -1):  # what holds it, up to what is there already
                         if (chain[at], chain[at - 1]) in found:
