@@ -41,7 +41,8 @@ def onsets(overlap: Column, y_present: Column, target: Column, indices: Column,
 
     def at(i: Column) -> Column:
         third = F.raise_error(F.concat(F.lit("no onset for rival "), i.cast("string"))).cast("int")
-        sign = F.element_at(F.array(first, -first, third), F.least(F.array_position(_rivals(indices, target), i), F.lit(3)).cast("int"))
+        place = F.array_position(_rivals(indices, target), i)
+        sign = F.when(place == 1, first).when(place == 2, -first).otherwise(third)
         return F.when((overlap == "full") | (i == target), lead).otherwise(F.floor((LEAD + STAGGER * sign) * rate)).cast("long")
 
     return F.map_from_arrays(indices, F.transform(indices, at))

@@ -50,9 +50,22 @@ def score_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCORE_INDEX).option("multiLine", True).json(path)
 
 
+#: Rows that may come to the driver: an index's, a result document's, a printed table's.
+MOST_ROWS = 100_000
+
+
+def few_rows(df: DataFrame, what: str, most: int | None = None) -> list:
+    """The rows of a table that is small by contract; a larger one is an error, and no more than its size's bound comes here."""
+    most = MOST_ROWS if most is None else most
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} has over {most} rows")
+    return rows
+
+
 def indexed_scores(spark: SparkSession, root: str, index: DataFrame, schema: str) -> DataFrame:
-    """All score files of an index in one scan, with panel and model from the index (one row a file, so it stays small)."""
-    entries = index.select("panel", "model", "file").collect()
+    """All score files of an index in one scan, with panel and model from the index: a row a file, MOST_ROWS at most."""
+    entries = few_rows(index.select("panel", "model", "file"), "the index")
     df = json_lines(spark, [f"{root}/{r['file']}" for r in entries], schema)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     folder = F.element_at(F.split(F.input_file_name(), "/"), -2)

@@ -11,6 +11,8 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.sources.readers import few_rows
+
 
 def json_lines(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """JSON lines with sorted keys; with an order, rows are in it over all files by name."""
@@ -19,8 +21,8 @@ def json_lines(df: DataFrame, path: str, order: list[str] | None = None) -> None
 
 
 def json_result(df: DataFrame, path: str) -> None:
-    """A small result table as one indented document."""
-    rows = [json.loads(r) for r in df.toJSON().collect()]
+    """A small result table (readers.MOST_ROWS rows at most) as one indented document."""
+    rows = [json.loads(r["value"]) for r in few_rows(df.select(F.to_json(F.struct("*")).alias("value")), "the result")]
     with open(path, "w") as f:
         json.dump(rows, f, indent=1, ensure_ascii=False)
 
@@ -38,9 +40,9 @@ def macro_file(df: DataFrame, path: str) -> None:
 
 
 def table_rows(df: DataFrame, columns: list[str]) -> str:
-    """Body lines of a LaTeX table, in the rows' order."""
+    """Body lines of a LaTeX table (readers.MOST_ROWS at most), in the rows' order."""
     escape = lambda x: re.sub(r"([&%_#$])", r"\\\1", str(x))
-    return "\n".join(" & ".join(escape(r[c]) for c in columns) + r" \\" for r in df.select(*columns).collect())
+    return "\n".join(" & ".join(escape(r[c]) for c in columns) + r" \\" for r in few_rows(df.select(*columns), "the table"))
 
 
 def addressed(rows: DataFrame, root: str, verify_existing: bool = False) -> DataFrame:

@@ -337,3 +337,21 @@ def test_pcg64_slices_are_numpys(spark, clusters, slice_outputs):
         assert got == want
     parts = np.concatenate([resample._bounded(i * slice_outputs, slice_outputs, clusters, 9) for i in range(20)])
     assert (parts == np.random.default_rng(9).integers(0, clusters, len(parts))).all()
+
+
+def test_only_few_rows_come_to_the_driver(spark, tmp_path, monkeypatch):
+    df = spark.range(5)
+    monkeypatch.setattr(readers, "MOST_ROWS", 5)
+    assert len(readers.few_rows(df, "it")) == 5
+    writers.json_result(df, str(tmp_path / "five.json"))
+    assert json.loads((tmp_path / "five.json").read_text()) == [{"id": k} for k in range(5)]
+    monkeypatch.setattr(readers, "MOST_ROWS", 4)
+    for sink in (lambda: writers.json_result(df, str(tmp_path / "r.json")), lambda: writers.table_rows(df, ["id"])):
+        with pytest.raises(ValueError, match="over 4 rows"):
+            sink()
+
+
+def test_a_third_rival_has_no_onset(spark):
+    df = spark.createDataFrame([("partial", "A", 0, [0, 1, 2, 3])], "overlap string, y string, target int, included array<int>")
+    with pytest.raises(Exception, match="no onset for rival 3"):
+        df.select(audio.onsets(F.col("overlap"), F.col("y"), F.col("target"), F.col("included"), F.lit(100))).collect()
