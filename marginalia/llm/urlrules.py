@@ -18,12 +18,13 @@ from marginalia.llm.common import small_batches
 
 #: A url is blocked from this sum of weights on.
 BLOCK_AT = 6
-#: The default vocabulary's words by weight; each counts with its plural. Strict words alone are enough, of telling ones (3) it
-#: takes two, of loose ones (2) three. Production lists come from a table (read_vocabulary).
+#: The default vocabulary's words by weight; each counts with its plural. Strict words alone are enough and are only that: words of
+#: ordinary use (adult, poker, slots) are telling ones (3), of which it takes two; of loose ones (2) it takes three. Production
+#: lists come from a table (read_vocabulary).
 WORDS = {
-    6: "casino porn porno xxx viagra cialis gambling warez escort malware phishing keygen betting hentai nude milf bdsm webcamsex sexcam camgirl pornstar nsfw adult erotic "
-    "sportsbook slots poker roulette blackjack baccarat bingo payday ransomware botnet spyware trojan torrent pirated nulled cracked counterfeit replica steroid",
-    3: "spam farm cheap pill win bet jackpot bonus loan hack crack sexy sex dating hookup hot babe lottery wager odds stake prize winner rich debt casinos lender refinance "
+    6: "casino gambling betting malware phishing porn porno xxx viagra cialis warez keygen hentai milf bdsm webcamsex sexcam camgirl pornstar nsfw sportsbook",
+    3: "escort nude adult erotic slots poker roulette blackjack baccarat bingo payday ransomware botnet spyware trojan torrent pirated nulled "
+    "cracked counterfeit replica steroid x spam farm cheap pill win bet jackpot bonus loan hack crack sexy sex dating hookup hot babe lottery wager odds stake prize winner rich debt casinos lender refinance "
     "forex crypto bitcoin token airdrop doubler binary serial patch activator leak dump carding proxy clickbait traffic popunder redirect ad track tracker affiliate "
     "weightloss diet detox miracle pharmacy rx meds drug tablet generic discount",
     2: "free deal sale offer coupon promo click buy order online shop best top1 earn money cash income guaranteed instant fast easy secret trick unlimited download "

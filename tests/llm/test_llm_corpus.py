@@ -519,6 +519,10 @@ def test_url_vocabulary(spark, tmp_path):
         own = [w for term, w in words.items() if re.search(f"(?<![a-z0-9]){term}(?![a-z0-9])", t.lower())]
         assert got[i] == ("block" if sum(own) >= 6 else "allow", own.count(6), len(own) - own.count(6), sum(own))
     assert [got[i][0] for i in range(5)] == ["block", "allow", "block", "block", "block"]
+    # ordinary words decide in pairs only
+    pairs = ["http://adult-education.org", "http://poker.org/club", "http://adult-x.example.net/", "http://slots.org/adult", "http://a.net/steroid/research"]
+    got = [(r.verdict, r.n_strict, r.n_soft) for r in urlrules.judge_urls(spark.createDataFrame(list(enumerate(pairs)), "page_id long, url string").coalesce(1), []).collect()]
+    assert got == [("allow", 0, 1), ("allow", 0, 1), ("block", 0, 2), ("block", 0, 2), ("allow", 0, 1)]
     path = str(tmp_path / "terms.parquet")
     spark.createDataFrame([("Acme", 6), ("acme", 2), (None, 6), ("x y", 3), ("z", None)], "term string, weight int").write.parquet(path)
     own = urlrules.read_vocabulary(spark, path)
