@@ -14,26 +14,27 @@ from pyspark.sql import functions as F
 BUCKETS, SAMPLE = 64, 2048
 
 
-def _cuts(rows: DataFrame, key: Column, buckets: int) -> DataFrame:
-    """One row: cuts, at most buckets - 1 values in order."""
-    drawn = rows.select(key.alias("key")).where(F.col("key").isNotNull()).select("key", F.xxhash64("key").alias("hash")).orderBy("hash", "key").limit(SAMPLE)
+def _cuts(rows: DataFrame, key: Column, buckets: int, weight: Column) -> DataFrame:
+    """One row: cuts, at most buckets - 1 values in order. The weight is read and nulls are told apart late, so that what is below
+    stays the same plan as for the places, and is computed once; a null is nobody's cut."""
+    drawn = rows.select(key.alias("key"), F.when(weight >= 0, F.xxhash64(key)).alias("hash")).orderBy(F.col("key").isNull(), "hash", "key").limit(SAMPLE)
     held = drawn.agg(F.sort_array(F.collect_list("key")).alias("sample"))
     step = F.greatest(F.floor(F.size("sample") / buckets), F.lit(1)).cast("int")
     places = F.filter(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: i * step < F.size("sample"))
     return held.select(F.array_distinct(F.transform(places, lambda i: F.get("sample", i * step))).alias("_cuts"))
 
 
-def bucketed(rows: DataFrame, key: Column, buckets: int | None = None) -> DataFrame:
+def bucketed(rows: DataFrame, key: Column, buckets: int | None = None, weight: Column | None = None) -> DataFrame:
     """rows with _bucket: how many cuts are below the key. Equal keys share a bucket, a null key is in the first."""
     buckets = buckets or BUCKETS
-    joined = rows.crossJoin(F.broadcast(_cuts(rows, key, buckets)))  # one row
+    joined = rows.crossJoin(F.broadcast(_cuts(rows, key, buckets, F.lit(1) if weight is None else weight)))  # one row
     return joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
 
 
 def below(rows: DataFrame, key: Column, weight: Column, by: list[str], name: str, buckets: int | None = None, total: str | None = None) -> DataFrame:
     """rows with `name`: the weights of the group's rows of lesser keys, and with `total`: those of all its rows. Keys differ within
     a group, or tie among equals."""
-    cut = bucketed(rows, key, buckets)
+    cut = bucketed(rows, key, buckets, weight)
     sums = cut.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # at most as many rows a group as there are buckets
