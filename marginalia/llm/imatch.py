@@ -11,6 +11,7 @@ A document without any of the lexicon's terms has, in all subsets, the hash of a
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,23 +110,65 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """doc_id, text, carried columns, and next_<column> of the next document by ascending doc_id (then text); after the
-    last comes the first.
+    """doc_id, text, carried columns (which the text determines), and next_<column> of the next document by ascending doc_id (null
+    first); after the last comes the first. Rows of one id go by text, repeated rows next to each other; an id, or null, that
+    holds more rows than a stretch orders its texts by a hash first, so that no task holds them all.
 
     Ids are cut at quantiles into stretches that tasks order for themselves; the first document of a stretch also goes, as
-    its end, to the stretch before. Only the cuts, a number for each stretch, come to the driver.
+    its end, to the stretch before. Only the cuts, a number for each stretch, come to the driver; an id that several quantiles
+    share is a crowded one.
     """
     ids = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     stretches = max(1, min(MOST_STRETCHES, ids["n"] // STRETCH))
     shares = [i / stretches for i in range(1, stretches)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 10 * stretches + 1000)).first()[0] if shares else []
-    cuts = sorted({c for c in found or [] if c > ids["least"]})
+    found = (docs.agg(F.percentile_approx("doc_id", shares, 10 * stretches + 1000)).first()[0] if shares else None) or []
+    cuts = sorted({c for c in found if c > ids["least"]})
+    slots: dict[int | None, int] = {c: times + 1 for c, times in Counter(found).items() if times > 1}
+    if stretches > 1 and ids["nulls"] > ids["n"] // stretches:
+        slots[None] = ids["nulls"] * stretches // ids["n"] + 1
+    rows = docs.select("doc_id", "text", *carried, F.lit(False).alias("is_mark"))
+    columns = ["doc_id", "text", *carried, *(f"next_{c}" for c in ("text", *carried))]
+    if slots:
+        dealt = _dealt(rows, slots)
+        inside, bounds = _crowded(dealt.where("slots is not null"), carried)
+        rows = dealt.where("slots is null").drop("slots").unionByName(bounds)
     own, end_of = _places(F.col("doc_id"), cuts, None if ids["nulls"] else ids["least"])
-    rows = docs.select("doc_id", "text", *carried, F.explode(F.array_compact(F.array(own, end_of))).alias("at"))
+    rows = rows.withColumn("at", F.explode(F.array_compact(F.array(own, end_of))))
     # an end stands after its stretch's own rows
-    w = Window.partitionBy("at.place").orderBy("at.is_end", F.col("doc_id").asc_nulls_first(), "text")
-    out = rows.select("doc_id", "text", *carried, F.col("at.is_end").alias("is_end"), *(F.lead(c).over(w).alias(f"next_{c}") for c in ("text", *carried)))
-    return out.where("not is_end").drop("is_end")
+    w = Window.partitionBy("at.place").orderBy("at.is_end", F.col("doc_id").asc_nulls_first(), F.col("is_mark").desc(), "text")
+    led = rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in ("text", *carried)))
+    led = led.where("not at.is_end and not is_mark").select(columns)
+    return led.unionByName(inside.select(columns)) if slots else led
+
+
+def _dealt(rows: DataFrame, slots: dict[int | None, int]) -> DataFrame:
+    """The rows with the number of slots of their id, null where it is not crowded (at most MOST_STRETCHES ids are)."""
+    named = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"id": i, "slots": n} for i, n in slots.items()])), "array<struct<id bigint, slots int>>")).alias("named"))
+    named = F.broadcast(named.select(F.col("named.id").alias("crowded_id"), F.col("named.slots").alias("slots")))
+    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("crowded_id")), "left").drop("crowded_id")
+
+
+def _crowded(rows: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of crowded ids: those followed by a row of their id, with it, and the bounds of each id for the order of all ids
+    (a mark with its first text, which stands for it as the next of the row before, and its last row).
+
+    Texts are dealt to the id's slots by hash. Repeated rows are counted first: all but one are followed by themselves. The first
+    text of a slot goes, as its end, to the slot before; there are at most about twice MOST_STRETCHES slots.
+    """
+    kept = ["text", *carried]
+    slot = F.pmod(F.xxhash64("text"), F.col("slots").cast("long")).alias("slot")
+    crowd = stash(rows.groupBy("doc_id", slot, *kept).agg(F.count("*").alias("copies")), "crowd")
+    heads = crowd.groupBy("doc_id", "slot").agg(F.min(F.struct(*kept)).alias("head"))
+    heads = heads.withColumn("before", F.lag("slot").over(Window.partitionBy("doc_id").orderBy("slot")))
+    ends = heads.where("before is not null").select("doc_id", F.col("before").alias("slot"), "head.*", F.lit(True).alias("is_end"))
+    w = Window.partitionBy("doc_id", "slot").orderBy("is_end", "text")
+    led = crowd.drop("copies").withColumn("is_end", F.lit(False)).unionByName(ends)
+    led = stash(led.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in kept)).where("not is_end").drop("is_end", "slot"), "led")
+    again = crowd.where("copies > 1").select("doc_id", *kept, "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") - 1, F.lit(STRETCH).cast("long"))).alias("at"))
+    again = again.repartition(F.xxhash64("text"), "at").select("doc_id", *kept, F.explode(F.sequence("at", F.least(F.col("at") + STRETCH, F.col("copies")) - 1)).alias("nth"))
+    inside = led.where("next_text is not null").unionByName(again.drop("nth").select("*", *(F.col(c).alias(f"next_{c}") for c in kept)))
+    marks = heads.where("before is null").select("doc_id", "head.*", F.lit(True).alias("is_mark"))
+    return inside, marks.unionByName(led.where("next_text is null").select("doc_id", *kept, F.lit(False).alias("is_mark")))
 
 
 def _places(doc_id: Column, cuts: list[int], least: int | None) -> tuple[Column, Column]:
@@ -149,8 +192,8 @@ def fingerprint_documents(docs: DataFrame, low: float = LOW, high: float = HIGH)
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row for each row.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
-    document. A null text is empty. A null doc_id comes first in the order; repeated rows stand next to each other and are
-    each other's next; a single document is its own. Other columns are not carried; an empty table gives an empty result.
+    document. A null text is empty. A null doc_id comes first in the order (see with_next); repeated rows stand next to each other
+    and are each other's next; a single document is its own. Other columns are not carried; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = stash(lexicon(own, low, high).select(F.xxhash64("term").alias("h")), "lexicon")

@@ -339,6 +339,35 @@ def test_fingerprints_by_brute_force(spark, monkeypatch):
     assert got[short].near_next == 1.0 and got[short + 1].near_next == 0.0 and got[short - 1].near_next == 0.0
 
 
+@pytest.mark.parametrize("crowds", [(None,), (None, 700), (1, 1399)])
+def test_next_of_crowded_ids(spark, crowds):
+    """Tens of thousands of rows of one id, or of none: each row is followed once, ids in order, and no slot holds an id's rows."""
+    rows = [(i, f"own {i}") for i in range(1, 1400) if i not in crowds]
+    rows += [(crowd, f"text {i % 9000} of {crowd}") for crowd in crowds for i in range(24_000)] + [(crowds[0], "copy")] * 26_000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    got = imatch.with_next(df, []).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    assert Counter(r.next_text for r in got) == Counter(text for _, text in rows)
+    # without what follows itself, the texts make one ring, and ids ascend along it
+    ring = {r.text: r.next_text for r in got if r.text != r.next_text}
+    ids = {text: -1 if i is None else i for i, text in rows}
+    first = [text for text in ring if ids[text] == min(ids.values())]
+    start = next(text for text in first if not any(ring[other] == text for other in first))
+    way = [start]
+    while ring[way[-1]] != start:
+        way.append(ring[way[-1]])
+    assert len(way) == len(ids) and [ids[text] for text in way] == sorted(ids.values())
+
+
+def test_crowded_ids_are_dealt_out(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(imatch, "stash", lambda df, label: tables.append(df) or common.stash(df, label))
+    df = spark.range(50_000).selectExpr("cast(null as bigint) as doc_id", "concat('text ', id) as text")
+    assert imatch.with_next(df, []).count() == 50_000
+    sizes = [r["count"] for r in tables[0].groupBy("slot").count().collect()]
+    assert len(sizes) == 26 and max(sizes) < 1.2 * imatch.STRETCH
+
+
 def test_lexicon(spark):
     df = spark.createDataFrame([(1, "a b, B c"), (2, "a. (b) d"), (3, "a"), (4, None)], "doc_id long, text string")
     assert {r.term: r.docs for r in imatch.lexicon(df, 0.3, 0.6).collect()} == {"b": 2}
