@@ -253,6 +253,22 @@ def test_chats(spark, monkeypatch):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chats_of_many_null_turns(spark, monkeypatch):
+    """Null turns and rows of one turn, more than a task is to hold, are cut by ranges and put together again."""
+    monkeypatch.setattr(chat, "CROWD", 40)
+    rng = random.Random(8)
+    null_turns = [(None, rng.choice(["user", "assistant"]), f"said {rng.randrange(1000)} é") for _ in range(400)]
+    one_turn = [(3, "user", f"again {i}") for i in range(150)]
+    talks = {1: null_turns, 2: null_turns + one_turn, 3: one_turn, 4: null_turns + [(5, "user", "end")], 5: [(1, "user", "hi")], 6: one_turn + one_turn, 7: [(None, None, None)]}
+    rows = [(conv, *turn, 9) for conv, talk in talks.items() for turn in talk] + [(None, None, "user", "lost", 9)] * 100
+    tables = []
+    monkeypatch.setattr(chat, "stash", lambda df, label: tables.append((label, df)) or common.stash(df, label))
+    df = spark.createDataFrame(rows, CHAT)
+    assert {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in chat.format_chats(df).collect()} == brute_chats(rows)
+    dealt = next(table for label, table in tables if label == "dealt")
+    assert max(r["count"] for r in dealt.groupBy("part").count().collect()) < 200
+
+
 def test_chat_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, 1, "user", "a", 1)], CHAT)
     assert not re.search("Python|Pandas|Arrow", chat.format_chats(df)._jdf.queryExecution().toString())
