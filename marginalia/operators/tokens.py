@@ -44,45 +44,51 @@ def with_audio(inputs: DataFrame, features: DataFrame) -> DataFrame:
 # --- scores -----------------------------------------------------------------------------------------------------------
 
 
-def log_normalisers(logits: DataFrame) -> DataFrame:
-    """row, pos, normaliser: the logarithm of the sum of exponents of each position's logits, by its largest first, so that none
-    overflows. One shuffle serves both passes. A null or NaN logit is an error; minus infinity counts as impossible."""
-    broken = F.col("logit").isNull() | F.isnan("logit")
-    message = F.concat(F.lit("no logit at row "), F.col("row").cast("string"), F.lit(", position "), F.col("pos").cast("string"))
-    rows = logits.select("row", "pos", raised(broken, message, F.col("logit")).cast("double").alias("logit"))
-    most = rows.groupBy("row", "pos").agg(F.max("logit").alias("most"))
-    shifted = rows.join(most, ["row", "pos"]).groupBy("row", "pos").agg(F.max("most").alias("most"), F.sum(F.exp(F.col("logit") - F.col("most"))).alias("rest"))
-    return shifted.select("row", "pos", (F.col("most") + F.log("rest")).alias("normaliser"))
-
-
-def _scored(wanted: DataFrame, logits: DataFrame) -> DataFrame:
-    """wanted (row, pos, token, ...) with logp; positions that no one wants are dropped before anything is summed. A token that has
-    no logit is an error."""
-    asked = wanted.select("row", "pos").distinct()
-    own = logits.join(asked, ["row", "pos"], "left_semi")
-    joined = wanted.join(own.select("row", "pos", "token", "logit"), ["row", "pos", "token"], "left").join(log_normalisers(own), ["row", "pos"], "left")
-    message = F.concat(F.lit("no logit of token "), F.col("token").cast("string"), F.lit(" at row "), F.col("row").cast("string"), F.lit(", position "), F.col("pos").cast("string"))
-    logp = F.col("logit") - F.col("normaliser")
-    return joined.withColumn("logp", raised(logp.isNull(), message, logp).cast("double")).drop("logit", "normaliser")
+def _named(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+
+
+def _scored(asked: DataFrame, logits: DataFrame) -> DataFrame:
+    """asked (row, wanted: array of structs (pos, token, ...), ...; no row twice) with an entry each instead of the array, and its
+    logp. Logits meet what their row asks for once, by row, so a table that is dealt by row is not shuffled: other positions go, and
+    each position's exponents are summed in groups of near logits (512 apart), so none overflows and no largest one is looked for
+    first. What is asked for is smaller than the logits by a vocabulary, and is the side that is hashed. A null or NaN logit at a
+    position that is asked for is an error, and so is a token without a logit; minus infinity counts as impossible."""
+    own = [c for c in asked.columns if c != "row"]
+    keyed = asked.withColumns({"_places": F.array_distinct(F.col("wanted")["pos"]), "_keys": F.transform("wanted", lambda w: F.struct(w["pos"], w["token"]))})
+    seen = logits.select(F.col("row").alias("_row"), F.col("pos").cast("long").alias("_pos"), F.col("token").cast("long").alias("_token"), F.col("logit").cast("double").alias("_logit"))
+    joined = keyed.hint("shuffle_hash").join(seen, (F.col("row") == F.col("_row")) & F.array_contains("_places", F.col("_pos")), "left")
+    hit = F.when(F.array_contains("_keys", F.struct(F.col("_pos").alias("pos"), F.col("_token").alias("token"))), F.col("_token"))
+    broken = (F.col("_row").isNotNull() & (F.col("_logit").isNull() | F.isnan("_logit"))).cast("int")
+    scale = F.rint(F.col("_logit") / 512)
+    term = F.when(F.col("_logit") == float("-inf"), 0.0).otherwise(F.exp(F.col("_logit") - scale * 512))
+    sums = joined.groupBy("row", *own, F.col("_pos").alias("pos"), hit.alias("token"), scale.alias("scale")).agg(F.sum(term).alias("sum"), F.max("_logit").alias("logit"), F.max(broken).alias("broken"))
+    parts = sums.groupBy("row", *own).agg(F.collect_list(F.struct("pos", "token", "scale", "sum", "logit", "broken")).alias("_parts"))
+    entries = parts.select("row", *[c for c in own if c != "wanted"], F.explode("wanted").alias("_w"), "_parts").withColumn("_own", F.filter("_parts", lambda p: p["pos"] == F.col("_w")["pos"]))
+    top = F.array_max(F.col("_own")["scale"])
+    total = F.aggregate("_own", F.lit(0.0), lambda a, p: a + p["sum"] * F.exp((p["scale"] - F.col("_top")) * 512))
+    logit = F.get(F.filter("_own", lambda p: p["token"] == F.col("_w")["token"]), 0)["logit"]
+    scored = entries.withColumn("_top", top).withColumns({"_logit": logit, "_normaliser": F.col("_top") * 512 + F.log(total)})
+    at = ("row", F.col("row"), ", position ", F.col("_w")["pos"])
+    invalid = F.array_max(F.col("_own")["broken"]) == 1
+    logp = F.when(invalid, F.raise_error(_named("no logit at row ", *at[1:])).cast("double")).when(F.col("_logit").isNull(), F.raise_error(_named("no logit of token ", F.col("_w")["token"], " at row ", *at[1:])).cast("double")).otherwise(F.col("_logit") - F.col("_normaliser"))
+    return scored.select("row", *[c for c in own if c != "wanted"], "_w.*", logp.alias("logp"))
 
 
 def teacher_forced(prompts: DataFrame, full: DataFrame, logits: DataFrame) -> DataFrame:
     """row, prompt_len, n_label, logp: the log-probability of the tokens that full (row, pos, token) has behind those of prompts
     (row, pos, token); a position's logits predict the next one. Positions are from 0. A label that adds no token is an error, and so
-    is one whose addition changes the prompt's own tokens, for then the two don't align."""
-    sizes = prompts.groupBy("row").agg(F.count("*").alias("prompt_len"))
-    same = full.join(prompts.select("row", "pos", F.col("token").alias("before")), ["row", "pos"], "left").join(sizes, "row")
-    changed = (F.col("pos") < F.col("prompt_len")) & ~F.col("token").eqNullSafe(F.col("before"))
-    message = F.concat(F.lit("row "), F.col("row").cast("string"), F.lit(": the label changes the prompt's token "), F.col("pos").cast("string"))
-    rows = same.select("row", "pos", "prompt_len", raised(changed, message, F.col("token")).cast("long").alias("token"))
-    wanted = rows.where("pos >= prompt_len").select("row", (F.col("pos") - 1).alias("pos"), "token", "prompt_len")
-    sums = _scored(wanted, logits).groupBy("row").agg(F.count("*").alias("n_label"), F.sum("logp").alias("logp"))
-    out = sizes.join(sums, "row", "left")
-    message = F.concat(F.lit("row "), F.col("row").cast("string"), F.lit(": no label behind the prompt"))
-    # the check of the prompt's own tokens must run for rows that are dropped after it
-    checked = rows.groupBy("row").agg(F.count("token").alias("full_len"))
-    out = out.join(checked, "row", "left")
-    return out.select("row", "prompt_len", raised(F.coalesce("full_len", F.lit(0)) <= F.col("prompt_len"), message, F.col("n_label")).cast("long").alias("n_label"), "logp")
+    is one whose addition changes the prompt's own tokens, for then the two don't align. A row is a model's context, so its tokens are
+    held as an array; everything is grouped and joined by row."""
+    held = lambda df, name: df.groupBy("row").agg(F.count("*").alias(f"{name}_rows"), F.count("token").alias(f"{name}_len"), F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("token").cast("long").alias("token")))).alias(name))
+    both = held(prompts, "_before").withColumnRenamed("_before_rows", "prompt_len").join(held(full, "_full"), "row", "left")
+    changed = F.array_min(F.zip_with("_full", "_before", lambda t, b: F.when((t["pos"] < F.col("prompt_len")) & ~t.eqNullSafe(b), t["pos"])))
+    both = both.withColumn("_changed", changed)
+    short = F.coalesce("_full_len", F.lit(0)) <= F.col("prompt_len")
+    length = raised(F.col("_changed").isNotNull(), _named("row ", F.col("row"), ": the label changes the prompt's token ", F.col("_changed")), raised(short, _named("row ", F.col("row"), ": no label behind the prompt"), F.col("prompt_len"))).cast("long")
+    behind = F.transform(F.filter("_full", lambda t: t["pos"] >= F.col("prompt_len")), lambda t: F.struct((t["pos"] - 1).alias("pos"), t["token"].alias("token")))
+    asked = both.select("row", length.alias("prompt_len"), behind.alias("wanted"))
+    return _scored(asked, logits).groupBy("row", "prompt_len").agg(F.count("*").alias("n_label"), F.sum("logp").alias("logp"))
 
 
 def last_positions(inputs: DataFrame) -> DataFrame:
@@ -95,8 +101,10 @@ def last_positions(inputs: DataFrame) -> DataFrame:
 
 def answer_only(inputs: DataFrame, logits: DataFrame, labels: DataFrame) -> DataFrame:
     """row, label, token, logp of every single-token label at each row's last attended position; labels are few and broadcast."""
-    wanted = last_positions(inputs).join(F.broadcast(single_token_labels(labels)), F.col("pos") >= 0)
-    return _scored(wanted, logits).select("row", "label", "token", "logp")
+    held = single_token_labels(labels).agg(F.collect_list(F.struct("label", "token")).alias("_labels"))
+    wanted = F.transform("_labels", lambda x: F.struct(F.col("pos").alias("pos"), x["token"].alias("token"), x["label"].alias("label")))
+    asked = last_positions(inputs).crossJoin(F.broadcast(held)).select("row", wanted.alias("wanted"))
+    return _scored(asked, logits).select("row", "label", "token", "logp")
 
 
 # --- batches ----------------------------------------------------------------------------------------------------------

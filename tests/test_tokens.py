@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import tokens
 
@@ -65,6 +66,51 @@ def test_answers_at_the_last_attended_position(spark):
     assert set(unmasked.values()) == {5}
 
 
+def _exploded(spark, n):
+    """Tokens of rows dealt by row, and the logits made of them, an entry of the vocabulary each."""
+    own = spark.range(n).selectExpr("id div 3 as row", "id % 3 as pos", "id % 5 as token").repartition(3, "row")
+    return own, own.selectExpr("row", "pos", f"explode(sequence(0L, {VOCABULARY - 1}L)) as token").withColumn("logit", (F.col("row") * 3 + F.col("pos") + F.col("token")) % 7 * 1.0)
+
+
+def _dealt_rows(df):
+    """Rows that all exchanges of the plan have written, once it has run."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        if "QueryStage" in name:
+            return walk(p.plan())
+        if name == "Exchange":
+            found.append(p.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    return sum(found)
+
+
+def test_forced_logits_stay_with_their_rows(spark):
+    """No entry of the vocabulary is shuffled where the logits are dealt by row: exchanges have rows of tokens only."""
+    own, logits = _exploded(spark, 300)
+    made = tokens.teacher_forced(own.where("pos < 1"), own, logits)
+    assert made.count() == 100 and _dealt_rows(made) <= 300 * 4
+
+
+def test_far_logits_and_missing_rows(spark):
+    """Logits in many groups of scale, at their borders, and impossible ones, as numpy has them; a row without any is an error."""
+    arrays = {1: np.array([[-1e300, 1e300, 0, 255.9], [256, 256.1, -256, 767.9], [-5000, -5001, -np.inf, -5600], [0, 0, 0, 0]])}
+    for token in range(4):
+        prompts, full = {1: [0]}, {1: [0, 1, token, token]}
+        (got,) = tokens.teacher_forced(token_rows(spark, prompts), token_rows(spark, full), logit_rows(spark, arrays)).collect()
+        want = sum(log_softmax(arrays[1][p - 1])[full[1][p]] for p in range(1, 4))
+        assert got.n_label == 3 and got.logp == pytest.approx(want)
+    with pytest.raises(Exception, match="no logit of token 3 at row 2, position 0"):
+        tokens.teacher_forced(token_rows(spark, {2: [0]}), token_rows(spark, {2: [0, 3]}), logit_rows(spark, arrays)).collect()
+
+
 def test_guards_name_the_row(spark):
     for rows, message in (([("yes", 0, 7), ("maybe", 0, 1), ("maybe", 1, 2)], "label maybe has 2 tokens"), ([("none", 0, None)], "label none has 0 tokens")):
         with pytest.raises(Exception, match=message):
