@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.ranks import below, numbered
+from marginalia.operators.ranks import below, numbered_twice
 
 
 def ordinal_rank(value: Column | str, ties: list[Column | str], partition: list[str] | None = None) -> Column:
@@ -41,13 +41,13 @@ def value_places(df: DataFrame, value: str, by: list[str], buckets: int | None =
 
 def spearman_of_units(df: DataFrame, x: str, y: str, by: list[str], ties: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """spearman() for tables that grow with the data: average ranks come from value_places, ordinal ones from numbered ranges."""
+    if ties:
+        ranked = numbered_twice(df, {"_x": [x, *ties], "_y": [y, *ties]}, by, buckets).withColumns({c: F.col(c) + 1.0 for c in ("_x", "_y")})
+        return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
     ranked = df
     for c, rank in ((x, "_x"), (y, "_y")):
-        if ties:
-            ranked = numbered(ranked, [c, *ties], rank, by, buckets).withColumn(rank, F.col(rank) + 1.0)
-        else:
-            places = value_places(df, c, by, buckets).withColumnsRenamed({"n": "_n", "below": "_below"})
-            ranked = ranked.join(places, [*by, c]).withColumn(rank, F.col("_below") + (F.col("_n") + 1) / 2.0).drop("_n", "_below", "total")
+        places = value_places(df, c, by, buckets).withColumnsRenamed({"n": "_n", "below": "_below"})
+        ranked = ranked.join(places, [*by, c]).withColumn(rank, F.col("_below") + (F.col("_n") + 1) / 2.0).drop("_n", "_below", "total")
     return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 

@@ -316,6 +316,30 @@ def test_windows_of_places_are_by_range(spark):
         assert not [line for line in windows if "x#" in line.split("windowspecdefinition")[1].split("specified")[0] and "_bucket" not in line]
 
 
+def test_two_orders_read_the_rows_a_few_times(spark):
+    """Both orders are cut and counted before rows are dealt: the table stands in the plan for the rows, the cuts and the counts only."""
+    df = spark.range(100).selectExpr("id % 3 as g", "id", "id * 7 % 11 as x", "id * 5 % 13 as y")
+    plan = stats.spearman_of_units(df, "x", "y", ["g"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 100") <= 6
+
+
+@pytest.mark.parametrize("buckets", [2, 3, 16, 64])
+def test_places_by_two_orders(spark, buckets):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 5 == 0 else int(rng.integers(3)), i, None if i % 17 == 0 else float(rng.integers(6)), float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, id int, x double, y double")
+    got = {r.id: (r.a, r.b) for r in ranks.numbered_twice(df, {"a": ["x", "id"], "b": ["y", "id"]}, ["g"], buckets).collect()}
+    for g in (None, 0, 1, 2):
+        own = [r for r in rows if r[0] == g]
+        for k, at in ((2, 0), (3, 1)):
+            ordered = sorted(own, key=lambda r: (r[k] is not None, r[k] or 0.0, r[1]))
+            assert [got[r[1]][at] for r in ordered] == list(range(len(own)))
+    cut = ranks.bucketed(df, F.col("y"), buckets)
+    bounds = cut.groupBy("_bucket").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).orderBy("_bucket").collect()
+    assert len(bounds) == buckets and all(a.hi < b.lo for a, b in zip(bounds, bounds[1:]))
+    assert ranks.numbered_twice(df.limit(0), {"a": ["x"], "b": ["y"]}).count() == 0
+
+
 def test_numbered_rows(spark):
     rows = [(g, v, i) for i, (g, v) in enumerate([(1, 2.0), (1, None), (2, 2.0), (1, 2.0), (None, 1.0), (2, -1.0)])]
     df = spark.createDataFrame(rows, "g int, v double, id int")
