@@ -99,6 +99,14 @@ def test_forced_logits_stay_with_their_rows(spark):
     assert made.count() == 100 and _dealt_rows(made) <= 300 * 4
 
 
+def test_answer_logits_stay_with_their_rows(spark):
+    """The same for answers, for which only the few labels are dealt beside the tokens."""
+    own, logits = _exploded(spark, 300)
+    labels = spark.createDataFrame([("yes", 0, 7), ("no", 0, 8)], "label string, pos int, token long")
+    made = tokens.answer_only(own.withColumn("mask", F.lit(1)), logits, labels)
+    assert made.count() == 200 and _dealt_rows(made) <= 300 * 3
+
+
 def test_far_logits_and_missing_rows(spark):
     """Logits in many groups of scale, at their borders, and impossible ones, as numpy has them; a row without any is an error."""
     arrays = {1: np.array([[-1e300, 1e300, 0, 255.9], [256, 256.1, -256, 767.9], [-5000, -5001, -np.inf, -5600], [0, 0, 0, 0]])}
